@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import chat, url_filter
+from . import chat, packing, secrets, url_filter
 from .common import table
 
 QUERIES = {}
@@ -16,6 +17,18 @@ def query(f):
     return f
 
 
+@query
+def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every document."""
+    found = secrets.scan(table(spark, sf_dir, "documents", "doc_id", "text"))
+    joined = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s.kind, s.start, s.end)), ",")
+    of = lambda kind: F.size(F.filter("spans", lambda s: s.kind == kind)).cast("bigint")
+    return found.select(
+        "doc_id", of("assign").alias("n_assign"), of("access").alias("n_access"), of("hex").alias("n_hex"), of("lexed").alias("n_lexed"),
+        F.sha2(joined(F.filter("spans", lambda s: s.kind != "lexed")), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"),
+    )
+
+
 @query
 def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations and one, -1, whose texts hold control strings; read back from the formatted output."""
@@ -41,6 +54,18 @@ SELECT conv_id, count(*) AS n_turns,
 FROM s GROUP BY conv_id
 """
 
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+@query
+def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every piece of every document, in sequences of 4096 tokens."""
+    return packing.pack_documents(table(spark, sf_dir, "documents", "doc_id", "text"), tokenizer_path())
+
+
 #: The rules of the URL filter's query: host, path, verdict.
 URL_RULES = "('com', '/', 'allow'), ('example.com', '/en/', 'block'), ('www.example.com', '/en/', 'allow'), ('net', '/es/', 'block'), ('net', '/fr/', 'block')"
 
