@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, packing, secrets, url_filter
+from . import chat, packing, secrets, url_filter, warc
 from .common import table
 
 QUERIES = {}
@@ -54,6 +54,22 @@ SELECT conv_id, count(*) AS n_turns,
 FROM s GROUP BY conv_id
 """
 
+@query
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A WARC record for every page, read back from normalised archives."""
+    return warc.archive_pages(table(spark, sf_dir, "pages", "page_id", "url", "html"))
+
+
+ORACLES["op3_warc"] = """
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha256(coalesce(html, '')) AS d FROM pages),
+f AS (SELECT d, min(page_id) AS first_id FROM p WHERE n >= 100 GROUP BY d)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, d AS payload_digest,
+       CASE WHEN page_id <> first_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN page_id <> first_id THEN first_id END AS refers_to
+FROM p LEFT JOIN f USING (d)
+"""
+
+
 def tokenizer_path() -> str:
     import public_tokenizers
 
