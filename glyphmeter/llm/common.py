@@ -42,6 +42,8 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 9, 10, 11, 12, 13]] = True
+#: Any ASCII character but letters and digits, for words without the punctuation around them.
+NOT_ALNUM = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 #: An odd base and its inverse modulo 2**64: a word's hash is a difference of prefix sums, shifted back to its start.
@@ -72,12 +74,15 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(31))
 
 
-def _hash_block(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words of one block of bytes, and the first word of each document in it."""
+def _hash_block(data: np.ndarray, bounds: np.ndarray, gaps: np.ndarray = _SPACE, stem: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words of one block of bytes, and the first word of each document in it.
+
+    With stem, a second row holds the hashes of the words cut to so many bytes.
+    """
     n = len(data)
     if not n:
-        return np.empty(0, U64), np.zeros(len(bounds), np.int64)
-    inside = ~_SPACE[data]
+        return np.empty((2, 0) if stem else 0, U64), np.zeros(len(bounds), np.int64)
+    inside = ~gaps[data]
     starts = inside.copy()
     starts[1:] &= ~inside[:-1]
     ends = inside.copy()
@@ -88,14 +93,16 @@ def _hash_block(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.nd
     begin, end = np.flatnonzero(starts), np.flatnonzero(ends) + 1
     sums = np.zeros(n + 1, U64)
     np.cumsum((_LOWER[data].astype(U64) + U64(1)) * _power_table(_BASE, n)[:n], out=sums[1:])
+    if stem:
+        begin, end = np.stack([begin, begin]), np.stack([end, np.minimum(end, begin + stem)])
     words = (sums[end] - sums[begin]) * _power_table(_INVERSE, n)[begin]
-    return mix64(words ^ ((end - begin).astype(U64) << U64(56))), np.searchsorted(begin, bounds)
+    return mix64(words ^ ((end - begin).astype(U64) << U64(56))), np.searchsorted(begin[0] if stem else begin, bounds)
 
 
-def word_hashes(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def word_hashes(texts: pa.Array, gaps: np.ndarray = _SPACE, stem: int = 0) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """Blocks (first row, hashes of words, first word of each row and the end) of a batch of texts.
 
-    Words are runs of bytes other than ASCII white space, with A-Z lower-cased; null texts have none. A text longer
+    Words are runs of bytes outside gaps (ASCII white space), with A-Z lower-cased; null texts have none. A text longer
     than a block is hashed piece by piece and comes as a block of its own, so whole texts of any length are covered.
     """
     texts = texts.cast(pa.large_string()) if not pa.types.is_large_string(texts.type) else texts
@@ -107,19 +114,19 @@ def word_hashes(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]
         stop = int(np.searchsorted(offsets, offsets[row] + SLICE_BYTES, "right")) - 1
         if stop > row:
             stop = min(stop, len(texts))
-            hashes, first = _hash_block(raw[offsets[row] : offsets[stop]], offsets[row : stop + 1] - offsets[row])
+            hashes, first = _hash_block(raw[offsets[row] : offsets[stop]], offsets[row : stop + 1] - offsets[row], gaps, stem)
             yield row, hashes, first
         else:
             stop, parts, at, end = row + 1, [], int(offsets[row]), int(offsets[row + 1])
             while at < end:
                 to = min(end, at + SLICE_BYTES)
-                while to < end and not _SPACE[raw[to - 1]]:
-                    ahead = np.flatnonzero(_SPACE[raw[to : to + SLICE_BYTES]])
+                while to < end and not gaps[raw[to - 1]]:
+                    ahead = np.flatnonzero(gaps[raw[to : to + SLICE_BYTES]])
                     to = min(end, to + (int(ahead[0]) + 1 if len(ahead) else SLICE_BYTES))
-                parts.append(_hash_block(raw[at:to], np.array([0, to - at]))[0])
+                parts.append(_hash_block(raw[at:to], np.array([0, to - at]), gaps, stem)[0])
                 at = to
-            hashes = np.concatenate(parts)
-            yield row, hashes, np.array([0, len(hashes)])
+            hashes = np.concatenate(parts, -1)
+            yield row, hashes, np.array([0, hashes.shape[-1]])
         row = stop
 
 

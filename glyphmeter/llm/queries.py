@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, packing, secrets, url_filter, warc
+from . import chat, decontaminate, language, packing, secrets, toxicity, url_filter, warc
 from .common import table
 
 QUERIES = {}
@@ -82,6 +82,22 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents", "doc_id", "text"), tokenizer_path())
 
 
+@query
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, learned from those that are not held out."""
+    return language.identify_documents(table(spark, sf_dir, "documents", "doc_id", "text", "lang")).select("doc_id", "held_out", "lang_pred", "score", "rejected")
+
+
+@query
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A toxicity score for every document, learned from labelled ones that are not held out."""
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    labels = table(spark, sf_dir, "labels", "doc_id", "toxic").where(~language.held_out(F.col("doc_id")))
+    # the sample is bounded by toxicity.SAMPLE_DOCS, so its ids can be broadcast
+    weights = toxicity.fit(docs.join(F.broadcast(toxicity.sampled_labels(labels)), "doc_id"))
+    return toxicity.score(docs, weights).select("doc_id", language.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
 #: The rules of the URL filter's query: host, path, verdict.
 URL_RULES = "('com', '/', 'allow'), ('example.com', '/en/', 'block'), ('www.example.com', '/en/', 'allow'), ('net', '/es/', 'block'), ('net', '/fr/', 'block')"
 
@@ -102,3 +118,25 @@ m AS (SELECT u.*, rh || rp AS rule, v, row_number() OVER (PARTITION BY r ORDER B
       FROM u LEFT JOIN rules ON (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp))
 SELECT page_id, host, path, rule, coalesce(v, 'allow') AS verdict FROM m WHERE k = 1
 """
+
+
+@query
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that contain a benchmark item."""
+    return decontaminate.find_items(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "benchmark", "item_id", "text"))
+
+
+def shingles_sql(source: str, key: str) -> str:
+    """DuckDB: the distinct 5-word shingles of every text, as rows of the key and s."""
+    return f"""
+SELECT {key}, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+  ELSE list_distinct([array_to_string(w[i : i + 4], ' ') for i in range(1, len(w) - 3)]) END) AS s
+FROM (SELECT {key}, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM {source})"""
+
+
+ORACLES["op9_decontamination"] = f"""
+WITH d AS ({shingles_sql("documents", "doc_id")}), b AS ({shingles_sql("benchmark", "item_id")}),
+n AS (SELECT item_id, count(*) AS n FROM b GROUP BY item_id)
+SELECT doc_id, item_id, any_value(n) AS item_shingles, count(*) AS shared_shingles, count(*) / any_value(n) AS containment
+FROM d JOIN b USING (s) JOIN n USING (item_id) GROUP BY doc_id, item_id HAVING 100 * count(*) >= 75 * any_value(n)
+"""
