@@ -16,10 +16,11 @@ MAX_LANGUAGES = 200
 SAMPLE_DOCS = 300
 SAMPLE_BYTES = 16_384
 #: Bytes of each language's dictionary, which are broadcast.
-DICTIONARY_BYTES = 96 << 10
-LEVEL = 3
+DICTIONARY_BYTES = 256 << 10
 #: Characters that are encoded at once, each time from the dictionary alone; whole texts are encoded block by block.
-BLOCK = 4096
+BLOCK = 16_384
+#: Effort of the encoder; texts of fewer than SHORT characters, where single bytes decide, get more of it.
+LEVEL, SHORT_LEVEL, SHORT = 3, 15, 800
 #: A prediction is rejected if the runner-up is less than this share longer.
 MARGIN = 0.01
 
@@ -33,21 +34,22 @@ def held_out(doc_id: Column) -> Column:
 
 @dataclass
 class Dictionaries:
-    """Raw-content dictionaries by language, made ready once in each worker."""
+    """Raw-content dictionaries by language, the most frequent first, made ready once in each worker."""
 
     raw: dict[str, bytes]
-    ready: list = field(default_factory=list, repr=False, compare=False)
+    ready: dict = field(default_factory=dict, repr=False, compare=False)
 
     def __getstate__(self):
-        return {"raw": self.raw, "ready": []}
+        return {"raw": self.raw, "ready": {}}
 
-    def compressors(self) -> list:
-        if not self.ready:
-            for lang, data in sorted(self.raw.items()):
+    def compressors(self, level: int) -> list:
+        if level not in self.ready:
+            self.ready[level] = []
+            for lang, data in self.raw.items():
                 kept = zstandard.ZstdCompressionDict(data, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-                kept.precompute_compress(level=LEVEL)
-                self.ready.append((lang, zstandard.ZstdCompressor(dict_data=kept, write_checksum=False, write_content_size=False, write_dict_id=False)))
-        return self.ready
+                kept.precompute_compress(level=level)
+                self.ready[level].append((lang, zstandard.ZstdCompressor(dict_data=kept, write_checksum=False, write_content_size=False, write_dict_id=False)))
+        return self.ready[level]
 
     def judge(self, text: str | None) -> tuple[str, float, bool]:
         """(language, score from 0 to 1, rejected): und, 0 and True for no text, no letter or no dictionary."""
@@ -55,10 +57,11 @@ class Dictionaries:
         if not words or not self.raw:
             return "und", 0.0, True
         blocks = [words[i : i + BLOCK].encode() for i in range(0, len(words), BLOCK)]
-        sizes = sorted((sum(len(c.compress(b)) for b in blocks), lang) for lang, c in self.compressors())
+        # of equal sizes, the more frequent language comes first
+        sizes = sorted((sum(len(c.compress(b)) for b in blocks), k, lang) for k, (lang, c) in enumerate( self.compressors(SHORT_LEVEL if len(words) < SHORT else LEVEL)))
         best, second = sizes[0][0], sizes[1][0] if len(sizes) > 1 else sizes[0][0] * 2
         margin = second / best - 1
-        return sizes[0][1], margin / (margin + MARGIN), margin < MARGIN
+        return sizes[0][2], margin / (margin + MARGIN), margin < MARGIN
 
 
 def fit(labelled: DataFrame) -> Dictionaries:
@@ -86,7 +89,7 @@ def fit(labelled: DataFrame) -> Dictionaries:
             if size >= DICTIONARY_BYTES:
                 break
         raw[row["lang"]] = b" ".join(texts)[-DICTIONARY_BYTES:]
-    return Dictionaries({lang: data for lang, data in raw.items() if len(data) >= 8})
+    return Dictionaries({lang: raw[lang] for lang in counts if len(raw.get(lang, b"")) >= 8})
 
 
 def identify(docs: DataFrame, dictionaries: Dictionaries) -> DataFrame:

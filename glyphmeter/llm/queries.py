@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, language, packing, secrets, toxicity, url_filter, warc
+from . import chat, decontaminate, jaccard_join, language, packing, secrets, toxicity, url_filter, warc
 from .common import table
 
 QUERIES = {}
@@ -82,6 +82,12 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents", "doc_id", "text"), tokenizer_path())
 
 
+@query
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose shingle sets are similar to 75 percent."""
+    return jaccard_join.similar_components(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 @query
 def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of every document, learned from those that are not held out."""
@@ -93,8 +99,9 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A toxicity score for every document, learned from labelled ones that are not held out."""
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
     labels = table(spark, sf_dir, "labels", "doc_id", "toxic").where(~language.held_out(F.col("doc_id")))
+    sample, shards = toxicity.sampled_labels(labels)
     # the sample is bounded by toxicity.SAMPLE_DOCS, so its ids can be broadcast
-    weights = toxicity.fit(docs.join(F.broadcast(toxicity.sampled_labels(labels)), "doc_id"))
+    weights = toxicity.fit(docs.join(F.broadcast(sample), "doc_id"), shards)
     return toxicity.score(docs, weights).select("doc_id", language.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
@@ -140,3 +147,14 @@ n AS (SELECT item_id, count(*) AS n FROM b GROUP BY item_id)
 SELECT doc_id, item_id, any_value(n) AS item_shingles, count(*) AS shared_shingles, count(*) / any_value(n) AS containment
 FROM d JOIN b USING (s) JOIN n USING (item_id) GROUP BY doc_id, item_id HAVING 100 * count(*) >= 75 * any_value(n)
 """
+
+ORACLES["op5_jaccard_join"] = f"""
+WITH RECURSIVE d AS MATERIALIZED ({shingles_sql("documents", "doc_id")}),
+n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM d GROUP BY doc_id),
+links AS MATERIALIZED (
+  SELECT a, b FROM (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS shared FROM d x JOIN d y ON x.s = y.s AND x.doc_id <> y.doc_id GROUP BY ALL)
+  JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * shared >= 75 * (na.n + nb.n - shared)),
+reach(doc_id, other) AS (SELECT doc_id, doc_id FROM documents UNION SELECT reach.doc_id, b FROM reach JOIN links ON other = a)
+SELECT doc_id, CAST(coalesce(any_value(n.n), 0) AS BIGINT) AS n_shingles, min(other) AS component_id
+FROM reach LEFT JOIN n USING (doc_id) GROUP BY doc_id
+"""

@@ -16,10 +16,10 @@ from pyspark.sql import functions as F
 
 from .common import NOT_ALNUM, U64, mix64, word_hashes
 
-#: Bound of the training sample, in labelled documents, and the bytes of one; the tasks that share it.
+#: Bound of the training sample, in labelled documents, and the bytes of one; the documents of one training task.
 SAMPLE_DOCS = 16_000
 SAMPLE_BYTES = 65_536
-SHARDS = 4
+SHARD_DOCS = 8_000
 #: The feature space: 2**BITS weights at most; the last one is the bias.
 BITS = 20
 ALPHA, BETA, L1, L2 = 1.0, 1.0, 6.0, 0.1
@@ -86,8 +86,8 @@ def train_shard(texts: list[str], labels: list[int]) -> tuple[np.ndarray, np.nda
     return kept, weights[kept]
 
 
-def fit(labelled: DataFrame) -> np.ndarray:
-    """Weights from a sample of labelled (doc_id, text, toxic), at most about SAMPLE_DOCS rows chosen by a hash.
+def fit(labelled: DataFrame, shards: int = 1) -> np.ndarray:
+    """Weights from a bounded sample of labelled rows (doc_id, text, toxic), averaged over the shards it is dealt to.
 
     Rows without label or text or with more than SAMPLE_BYTES bytes are not used; without rows all weights are 0.
     """
@@ -98,8 +98,8 @@ def fit(labelled: DataFrame) -> np.ndarray:
         return pd.DataFrame({"at": at, "w": w})
 
     sample = labelled.select("doc_id", "text", "toxic").where("text IS NOT NULL AND toxic IS NOT NULL").where(F.octet_length("text") <= SAMPLE_BYTES)
-    sample = sample.withColumn("pick", F.xxhash64(F.lit("order"), "doc_id")).withColumn("shard", F.pmod("pick", F.lit(SHARDS)))
-    mixed = sample.groupBy("shard").applyInPandas(run, "at bigint, w double").groupBy("at").agg((F.sum("w") / SHARDS).alias("w"))
+    sample = sample.withColumn("pick", F.xxhash64(F.lit("order"), "doc_id")).withColumn("shard", F.pmod("pick", F.lit(shards)))
+    mixed = sample.groupBy("shard").applyInPandas(run, "at bigint, w double").groupBy("at").agg((F.sum("w") / shards).alias("w"))
     weights = np.zeros((1 << BITS) + 1, np.float32)
     for row in mixed.collect():  # at most 2**BITS + 1 rows
         weights[row["at"]] = row["w"]
@@ -129,8 +129,13 @@ def score(docs: DataFrame, weights: np.ndarray, threshold: float = THRESHOLD) ->
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, score double, predicted int")
 
 
-def sampled_labels(labels: DataFrame) -> DataFrame:
-    """About SAMPLE_DOCS labelled ids (doc_id, toxic) at most, chosen by a hash; an id with several labels gets the highest."""
+def sampled_labels(labels: DataFrame) -> tuple[DataFrame, int]:
+    """About SAMPLE_DOCS labelled ids (doc_id, toxic) at most, chosen by a hash, and the shards to train them in.
+
+    An id with several labels gets the highest.
+    """
     ids = labels.select("doc_id", "toxic").where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    share = SAMPLE_DOCS / max(1, ids.count())
-    return ids if share >= 1 else ids.where(F.xxhash64(F.lit("toxicity"), "doc_id") / F.lit(2.0**64) + 0.5 < share)
+    n = ids.count()
+    share = SAMPLE_DOCS / max(1, n)
+    sample = ids if share >= 1 else ids.where(F.xxhash64(F.lit("toxicity"), "doc_id") / F.lit(2.0**64) + 0.5 < share)
+    return sample, max(1, -(-min(n, SAMPLE_DOCS) // SHARD_DOCS))
