@@ -13,6 +13,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -87,6 +88,29 @@ class ItemIndex:
         return out
 
 
+    def contained(self, shingles: np.ndarray, percent: int) -> list[tuple[int, int]]:
+        """(item, shared shingles) for every item of which the text with these shingles holds percent or more."""
+        out = []
+        if self.ids and len(shingles) and (found := self.candidates(shingles)):
+            whole = np.unique(shingles)
+            for i in sorted(found):
+                at = np.minimum(np.searchsorted(whole, self.sets[i]), len(whole) - 1)
+                shared = int((whole[at] == self.sets[i]).sum())
+                if 100 * shared >= percent * len(self.sets[i]):
+                    out.append((i, shared))
+        return out
+
+
+def item_blocks(items: DataFrame) -> Iterator[Broadcast]:
+    """Broadcast indexes of items (item_id, text), in blocks of a bounded size, one after another."""
+    items = items.select("item_id", "text")
+    n, size = items.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    blocks = max(1, -(-n // BLOCK_ITEMS), -(-size // BLOCK_BYTES))
+    for block in range(blocks):
+        rows = (items if blocks == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block)).collect()
+        yield items.sparkSession.sparkContext.broadcast(ItemIndex([r[0] for r in rows], [r[1] for r in rows]))
+
+
 def find_items(docs: DataFrame, items: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Pairs of a document (doc_id, text) and a test item (item_id, text) whose shingles it holds to percent or more.
 
@@ -95,32 +119,35 @@ def find_items(docs: DataFrame, items: DataFrame, percent: int = PERCENT) -> Dat
     row counts for itself, so repeated documents or items give repeated pairs; empty tables give no pairs.
     Items come to the driver in blocks of a bounded size; documents are read once for each block and never shuffled.
     """
-    spark = docs.sparkSession
-    docs, items = docs.select("doc_id", "text"), items.select("item_id", "text")
-    n, size = items.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
-    blocks = max(1, -(-n // BLOCK_ITEMS), -(-size // BLOCK_BYTES))
-
-    def passed(block: int) -> DataFrame:
-        own = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block)
-        rows = own.collect()
-        index = spark.sparkContext.broadcast(ItemIndex([r[0] for r in rows], [r[1] for r in rows]))
+    docs = docs.select("doc_id", "text")
 
+    def passed(index: Broadcast) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             known = index.value
             for batch in batches:
                 doc_ids, rows = batch.column(0), []
-                for row, shingles in shingle_hashes(batch.column(1), WIDTH) if known.ids else ():
-                    if len(shingles) and (found := known.candidates(shingles)):
-                        whole = np.unique(shingles)
-                        for i in sorted(found):
-                            wanted = known.sets[i]
-                            at = np.minimum(np.searchsorted(whole, wanted), len(whole) - 1)
-                            shared = int((whole[at] == wanted).sum())
-                            if 100 * shared >= percent * len(wanted):
-                                rows.append((doc_ids[row].as_py(), known.ids[i], len(wanted), shared, shared / len(wanted)))
+                for row, shingles in shingle_hashes(batch.column(1), WIDTH):
+                    for i, shared in known.contained(shingles, percent):
+                        rows.append((doc_ids[row].as_py(), known.ids[i], len(known.sets[i]), shared, shared / len(known.sets[i])))
                 cols = list(zip(*rows, strict=True)) if rows else [()] * 5
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.float64() if k == 4 else pa.int64()) for k, c in enumerate(cols)], [c.split()[0] for c in FOUND.split(", ")])
 
         return docs.mapInArrow(run, FOUND)
 
-    return reduce(DataFrame.unionByName, map(passed, range(blocks)))
+    return reduce(DataFrame.unionByName, map(passed, item_blocks(items)))
+
+
+def drop_contaminated(docs: DataFrame, items: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """The rows of docs, with all their columns, that hold no item to percent or more; see find_items."""
+    at = docs.columns.index("text")
+    for index in item_blocks(items):
+
+        def run(batches: Iterator[pa.RecordBatch], index: Broadcast = index) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                keep = np.ones(batch.num_rows, bool)
+                for row, shingles in shingle_hashes(batch.column(at), WIDTH):
+                    keep[row] = not index.value.contained(shingles, percent)
+                yield batch.filter(pa.array(keep))
+
+        docs = docs.mapInArrow(run, docs.schema)
+    return docs

@@ -200,3 +200,19 @@ def similar_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
     relabel = classes.select("set_key", "id").join(connected_components(links).withColumnRenamed("node", "id"), "id", "left").select("set_key", F.coalesce("component", "id").alias("component_id"))
     return base.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("set_key")).alias("set_key")).join(relabel, "set_key", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def keep_one_of_each(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """The rows of docs, with all their columns, without those that a document with a smaller doc_id is linked to.
+
+    Of each component the smallest doc_id stays, once if it repeats. Rows without doc_id stay, as do texts without words.
+    """
+    found = stored(similar_components(docs, percent), "components").where("doc_id IS NOT NULL")
+    copies = found.where("doc_id <> component_id").select("doc_id").distinct()
+    repeated = found.groupBy("doc_id").count().where("count > 1").select("doc_id")
+    sized = lambda ids: F.broadcast(ids) if ids.limit(MAX_BROADCAST_REQUESTS + 1).count() <= MAX_BROADCAST_REQUESTS else ids
+    left = docs.join(sized(copies), "doc_id", "left_anti")
+    if repeated.isEmpty():
+        return left.select(docs.columns)
+    repeated = sized(repeated)
+    return left.join(repeated, "doc_id", "left_anti").select(docs.columns).unionByName(left.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns))

@@ -112,3 +112,15 @@ def identify_documents(docs: DataFrame) -> DataFrame:
     """Learn from the rows of docs (doc_id, text, lang) that are not held out and judge all rows."""
     docs = docs.select("doc_id", "text", "lang")
     return identify(docs, fit(docs.where(~held_out(F.col("doc_id"))))).withColumn("held_out", held_out(F.col("doc_id")))
+
+
+def keep_identified(docs: DataFrame) -> DataFrame:
+    """The rows of docs, with all their columns, whose language is identified; rejected ones go. Learns as identify_documents."""
+    at = docs.columns.index("text")
+    known = docs.sparkSession.sparkContext.broadcast(fit(docs.where(~held_out(F.col("doc_id")))))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array([not known.value.judge(t.as_py())[2] for t in batch.column(at)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, jaccard_join, language, packing, secrets, toxicity, url_filter, warc
+from . import chat, decontaminate, hamming, jaccard_join, language, packing, secrets, toxicity, url_filter, warc
 from .common import table
 
 QUERIES = {}
@@ -158,3 +158,19 @@ reach(doc_id, other) AS (SELECT doc_id, doc_id FROM documents UNION SELECT reach
 SELECT doc_id, CAST(coalesce(any_value(n.n), 0) AS BIGINT) AS n_shingles, min(other) AS component_id
 FROM reach LEFT JOIN n USING (doc_id) GROUP BY doc_id
 """
+
+
+@query
+def op10_hamming_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest codes of every vector whose id is divisible by 20."""
+    return hamming.top_k(table(spark, sf_dir, "embeddings", "vec_id", "embedding"), F.col("id") % 20 == 0, 10)
+
+
+ORACLES["op10_hamming_topk"] = """
+WITH c AS (SELECT vec_id, list_transform(embedding, lambda x: x > 0) AS bits FROM embeddings),
+d AS (SELECT q.vec_id AS query_id, c.vec_id,
+             CAST(list_sum(list_transform(range(1, len(c.bits) + 1), lambda i: CAST(c.bits[i] <> q.bits[i] AS INTEGER))) AS BIGINT) AS distance
+      FROM c q, c WHERE q.vec_id % 20 = 0),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS INTEGER) AS rank FROM d)
+SELECT query_id, rank, vec_id, distance FROM r WHERE rank <= 10
+"""

@@ -108,22 +108,30 @@ def redacted(text: str, spans: list[tuple[str, int, int]]) -> str:
     return "".join([*out, text[at:]])
 
 
-def scan(docs: DataFrame, redact: bool = False) -> DataFrame:
-    """doc_id and spans (array of kind, start, end) of every row of docs (doc_id, text); with redact also the clean text.
+def scan(docs: DataFrame) -> DataFrame:
+    """doc_id and spans (array of kind, start, end) of every row of docs (doc_id, text).
 
-    Whole texts are read. A null or empty text has no spans (its clean text stays null or empty); repeated rows give
-    repeated results; an empty table gives an empty one. No row needs another, so nothing is shuffled.
+    Whole texts are read. A null or empty text has no spans; repeated rows give repeated results; an empty table gives
+    an empty one. No row needs another, so nothing is shuffled.
     """
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            spans = [find_spans(t) for t in texts]
-            cols = [batch.column(0), pa.array([[{"kind": k, "start": a, "end": b} for k, a, b in s] for s in spans], kind)]
-            if redact:
-                cols.append(pa.array([redacted(t, s) if s else t for t, s in zip(texts, spans, strict=True)], pa.string()))
-            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "spans", "clean"][: len(cols)])
-
-    schema = "doc_id bigint, spans array<struct<kind:string,start:bigint,end:bigint>>" + ", clean string" * redact
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+            spans = [find_spans(t) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([[{"kind": k, "start": a, "end": b} for k, a, b in s] for s in spans], kind)], ["doc_id", "spans"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, spans array<struct<kind:string,start:bigint,end:bigint>>")
+
+
+def redact_documents(docs: DataFrame) -> DataFrame:
+    """The rows of docs, with all their columns, each secret in their text replaced by its kind in brackets."""
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(at).to_pylist()
+            clean = pa.array([redacted(t, s) if t and (s := find_spans(t)) else t for t in texts], batch.schema.field(at).type)
+            yield batch.set_column(at, batch.schema.field(at), clean)
+
+    return docs.mapInArrow(run, docs.schema)
