@@ -1,4 +1,25 @@
 """The named queries of the library and their oracle SQL."""
 
+from __future__ import annotations
+
+import importlib
+
 QUERIES = {}
 ORACLES = {}
+
+
+def register(oracle: str | None = None):
+    """Name a query function (spark, sf_dir) after itself, with DuckDB SQL that gives the same rows where there is one."""
+
+    def keep(f):
+        QUERIES[f.__name__] = f
+        if oracle:
+            ORACLES[f.__name__] = oracle
+        return f
+
+    return keep
+
+
+def load_all() -> None:
+    for name in ("reports", "tokens", "statistics"):
+        importlib.import_module(f"{__package__}.{name}")
