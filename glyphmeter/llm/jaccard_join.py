@@ -4,7 +4,7 @@
 2. A document's prefix is as many of its rarest shingles as any document similar enough must share one of. Documents
    with the same prefix and size form a group, which stands in the posting lists as one entry.
 3. Entries of a list are candidates if their sizes and positions allow the similarity. A list is first joined as a
-   star around one entry, twice, around different ones; verified links make components. Then every pair of a list
+   star around one entry, in a few rounds with different ones; verified links make components. Then every pair of a list
    whose entries still lie in different components is expanded to its members and verified. So no link between
    components is missed, and a large group of copies costs as many verifications as it has members.
 4. Verification sends the exact shingle set of each candidate to the document it is compared with, once for a pair.
@@ -31,6 +31,8 @@ PERCENT = 75
 SKETCH_BITS, BLOCK_BITS = 20, 16
 #: Candidate documents whose requests are broadcast at most; more are joined by a shuffle.
 MAX_BROADCAST_REQUESTS = 1_000_000
+#: Rounds of stars before all pairs that are still apart are compared.
+STARS = 3
 #: Members that are compared with one copy of a document.
 FAN = 256
 
@@ -151,10 +153,16 @@ def _labelled(rows: DataFrame, links: DataFrame | None, key: str) -> DataFrame:
 
 
 def _stars(lists: DataFrame, seed: int, percent: int) -> DataFrame:
-    """Candidates (a, b) around one entry a of each list, chosen by a hash, in another component than b."""
+    """Candidates (a, b) around one entry a of each list, chosen by a hash, in another component than b.
+
+    An entry that is in the lists of several such hubs meets only the first of them, again by the hash, so there are
+    no more candidates than entries, and the entries of a large group of copies mostly meet the same hub.
+    """
     w = Window.partitionBy("token").orderBy(F.xxhash64(F.lit(seed), "id"), "id")
     hub = {f"hub_{c}": F.first(c).over(w) for c in ("id", "n", "pos", "comp")}
-    return lists.withColumns(hub).where("hub_comp <> comp").where(may_match(F.col("hub_n"), F.col("hub_pos"), F.col("n"), F.col("pos"), percent)).select(F.col("hub_id").alias("a"), F.col("id").alias("b"))
+    met = lists.withColumns(hub).where("hub_comp <> comp").where(may_match(F.col("hub_n"), F.col("hub_pos"), F.col("n"), F.col("pos"), percent))
+    first = F.min(F.struct(F.xxhash64(F.lit(seed), "hub_id"), "hub_id"))
+    return met.groupBy(F.col("id").alias("b")).agg(first["hub_id"].alias("a")).select("a", "b")
 
 
 def _crossing(lists: DataFrame, condition) -> DataFrame:
@@ -190,7 +198,8 @@ def similar_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
     within = members.where("group_id <> id").select(F.col("group_id").alias("a"), F.col("id").alias("b"))
     links = verified(docs, _stars(_labelled(lists, None, "id"), 1, percent).union(within), percent).checkpoint()
-    links = links.union(verified(docs, _stars(_labelled(lists, links, "id"), 2, percent), percent)).checkpoint()
+    for seed in range(2, STARS + 1):
+        links = links.union(verified(docs, _stars(_labelled(lists, links, "id"), seed, percent), percent)).checkpoint()
 
     # what is still apart: all members of the groups of a list, and all members of a group
     entries = lists.withColumnRenamed("id", "group_id").join(members.select("group_id", "id"), "group_id", "left").select("token", F.coalesce("id", "group_id").alias("id"), "n", "pos")
