@@ -4,8 +4,9 @@
 2. A document's prefix is as many of its rarest shingles as any document similar enough must share one of. Documents
    with the same prefix and size form a group, which stands in the posting lists as one entry.
 3. Entries of a list are candidates if their sizes and positions allow the similarity. A list is first joined as a
-   star around one entry, in a few rounds with different ones; verified links make components. Then every pair of a list
-   whose entries still lie in different components is expanded to its members and verified. So no link between
+   star around one entry, in a few rounds with different ones, the first around the entry that shares most; verified
+   links make components. Then every pair of a list whose entries still lie in different components is expanded to its
+   members, and verified unless parity bitmaps of the two sets already differ in too many places. So no link between
    components is missed, and a large group of copies costs as many verifications as it has members.
 4. Verification sends the exact shingle set of each candidate to the document it is compared with, once for a pair.
 """
@@ -32,11 +33,14 @@ SKETCH_BITS, BLOCK_BITS = 20, 16
 #: Candidate documents whose requests are broadcast at most; more are joined by a shuffle.
 MAX_BROADCAST_REQUESTS = 1_000_000
 #: Rounds of stars before all pairs that are still apart are compared.
-STARS = 3
+STARS = 2
 #: Members that are compared with one copy of a document.
 FAN = 256
 
-PREFIXES = "doc_id bigint, n bigint, set_key string, group_key string, prefix array<bigint>"
+#: Bits of a set's parity bitmap; two sets differ in at least as many shingles as their bitmaps do in bits.
+PARITY_BITS = 1024
+
+PREFIXES = "doc_id bigint, n bigint, set_key string, group_key string, prefix array<bigint>, parity array<bigint>"
 
 
 def shingle_ranks(docs: DataFrame) -> np.ndarray:
@@ -69,12 +73,12 @@ def shingle_ranks(docs: DataFrame) -> np.ndarray:
 
 
 def prefixes(docs: DataFrame, ranks: np.ndarray, percent: int) -> DataFrame:
-    """doc_id, set size, keys of the set and of its group, and the prefix in rank order; no prefix for empty sets."""
+    """doc_id, set size, keys of the set and of its group, the prefix in rank order (none for empty sets) and the parity bitmap."""
     known, shift = docs.sparkSession.sparkContext.broadcast(ranks), U64(64 - SKETCH_BITS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, sets, groups, parts = [], [], [], []
+            sizes, sets, groups, parts, parities = [], [], [], [], []
             for _, shingles in shingle_hashes(batch.column(1), WIDTH):
                 own = np.unique(shingles)
                 n = len(own)
@@ -84,9 +88,13 @@ def prefixes(docs: DataFrame, ranks: np.ndarray, percent: int) -> DataFrame:
                 sets.append(xxhash.xxh3_128_hexdigest(own.tobytes()))
                 groups.append(xxhash.xxh3_128_hexdigest(prefix.tobytes() + n.to_bytes(8, "little")))
                 parts.append(prefix)
+                odd = np.bincount((own & U64(PARITY_BITS - 1)).astype(np.int64), minlength=PARITY_BITS) & 1
+                parities.append(np.packbits(odd.astype(np.uint8)).view(np.int64))
+            words = PARITY_BITS // 64
+            parity = pa.ListArray.from_arrays(pa.array(np.arange(len(sizes) + 1) * words, pa.int32()), pa.array(np.concatenate([*parities, np.empty(0, np.int64)])))
             offsets = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int32)
             flat = np.concatenate([*parts, np.empty(0, U64)]).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(sets, pa.string()), pa.array(groups, pa.string()), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat))], ["doc_id", "n", "set_key", "group_key", "prefix"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(sets, pa.string()), pa.array(groups, pa.string()), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat)), parity], ["doc_id", "n", "set_key", "group_key", "prefix", "parity"])
 
     return docs.select("doc_id", "text").mapInArrow(run, PREFIXES)
 
@@ -101,6 +109,12 @@ def may_match(n1: Column, pos1: Column, n2: Column, pos2: Column, percent: int)
     return (100 * small >= percent * large) & (indexed(first) | indexed(second)) & ((100 + percent) * (1 + F.least(n1 - pos1 - 1, n2 - pos2 - 1)) >= percent * (n1 + n2))
 
 
+def parities_allow(n1: Column, parity1: Column, n2: Column, parity2: Column, percent: int) -> Column:
+    """Whether two sets whose parity bitmaps differ so can be similar enough."""
+    apart = F.aggregate(F.zip_with(parity1, parity2, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    return (100 + percent) * apart <= (100 - percent) * (n1 + n2)
+
+
 def verified(docs: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) of doc_ids whose exact sets are similar enough; at most FAN of a's are compared in one place."""
     placed = pairs.select("a", "b").distinct().withColumn("salt", F.floor((F.row_number().over(Window.partitionBy("a").orderBy("b")) - 1) / FAN).cast("int"))
@@ -153,27 +167,33 @@ def _labelled(rows: DataFrame, links: DataFrame | None, key: str) -> DataFrame:
 
 
 def _stars(lists: DataFrame, seed: int, percent: int) -> DataFrame:
-    """Candidates (a, b) around one entry a of each list, chosen by a hash, in another component than b.
+    """Candidates (a, b) around one entry a of each list, in another component than b.
 
-    An entry that is in the lists of several such hubs meets only the first of them, again by the hash, so there are
-    no more candidates than entries, and the entries of a large group of copies mostly meet the same hub.
+    The first round's hub is the entry with the longest lists, as the text that many copies derive from has them; later
+    ones are chosen by a hash. An entry that is in the lists of several hubs meets only the first of them in the same
+    order, so there are no more candidates than entries, and those of a large group of copies mostly meet the same hub.
     """
-    w = Window.partitionBy("token").orderBy(F.xxhash64(F.lit(seed), "id"), "id")
-    hub = {f"hub_{c}": F.first(c).over(w) for c in ("id", "n", "pos", "comp")}
+    lists = lists.withColumn("order", -F.col("shared") if seed == 1 else F.xxhash64(F.lit(seed), "id"))
+    w = Window.partitionBy("token").orderBy("order", "id")
+    hub = {f"hub_{c}": F.first(c).over(w) for c in ("id", "n", "pos", "comp", "order")}
     met = lists.withColumns(hub).where("hub_comp <> comp").where(may_match(F.col("hub_n"), F.col("hub_pos"), F.col("n"), F.col("pos"), percent))
-    first = F.min(F.struct(F.xxhash64(F.lit(seed), "hub_id"), "hub_id"))
+    first = F.min(F.struct("hub_order", "hub_id"))
     return met.groupBy(F.col("id").alias("b")).agg(first["hub_id"].alias("a")).select("a", "b")
 
 
-def _crossing(lists: DataFrame, condition) -> DataFrame:
-    """All candidates (a, b) of a list that lie in different components; entries of its commonest one meet only others."""
+def _crossing(lists: DataFrame, sets: DataFrame, condition: Column, percent: int) -> DataFrame:
+    """All candidates (a, b) of a list that lie in different components; entries of its commonest one meet only others.
+
+    sets (id, parity) has the bitmaps; they stand in the join's condition, so pairs that they rule out are never rows.
+    """
     w = Window.partitionBy("token")
     open_ = lists.withColumns({"low": F.min("comp").over(w), "high": F.max("comp").over(w)}).where("low <> high").drop("low", "high")
     counts = open_.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("k"))
     major = counts.groupBy("token").agg(F.max_by("comp", F.struct("k", "comp")).alias("major"))
-    marked = open_.join(major, "token").withColumn("is_major", F.col("comp") == F.col("major")).drop("major")
+    marked = open_.join(major, "token").withColumn("is_major", F.col("comp") == F.col("major")).drop("major").join(sets, "id")
     x, y = marked.where(~F.col("is_major")).alias("x"), marked.alias("y")
     met = (F.col("x.token") == F.col("y.token")) & (F.col("x.comp") != F.col("y.comp")) & (F.col("y.is_major") | (F.col("x.id") < F.col("y.id"))) & condition
+    met &= parities_allow(F.col("x.n"), F.col("x.parity"), F.col("y.n"), F.col("y.parity"), percent)
     return x.join(y, met).select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"))
 
 
@@ -186,15 +206,23 @@ def similar_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """
     docs = docs.select("doc_id", "text")
     base = stored(prefixes(docs, shingle_ranks(docs), percent), "prefixes")
-    classes = stored(base.where("n > 0").groupBy("set_key").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("group_key").alias("group_key")), "classes")
+    classes = stored(base.where("n > 0").groupBy("set_key").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("group_key").alias("group_key"), F.first("parity").alias("parity")), "classes")
+    sets = classes.select("id", "parity")
     groups = classes.groupBy("group_key").agg(F.min("id").alias("group_id"), F.count(F.lit(1)).alias("members"))
     members = classes.join(groups.where("members > 1"), "group_key").select("group_id", "id", "n").checkpoint()
 
     # one entry of each group in every posting list; entries that are alone in a list are left out
     heads = base.where("n > 0").groupBy("group_key").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.min_by("prefix", "doc_id").alias("prefix"))
     postings = heads.select("id", "n", F.posexplode("prefix").alias("pos", "token"))
-    w = Window.partitionBy("token").orderBy("id")
-    lists = stored(postings.withColumns({"before": F.lag("id").over(w), "after": F.lead("id").over(w)}).where("before IS NOT NULL OR after IS NOT NULL").select("token", "id", "n", F.col("pos").cast("bigint").alias("pos")), "lists")
+    w, whole = Window.partitionBy("token").orderBy("n", "id"), Window.partitionBy("token")
+    entry = F.struct("n", "pos")
+    near = postings.withColumn("pos", F.col("pos").cast("bigint")).withColumns({"before": F.lag(entry).over(w), "after": F.lead(entry).over(w), "k": F.count(F.lit(1)).over(whole)})
+    # an entry whose neighbours by size are not similar enough in size has no partner in the list
+    with_one = lambda other: may_match(F.col("n"), F.col("pos"), other["n"], other["pos"], percent)
+    with_many = (100 * F.col("before.n") >= percent * F.col("n")) | (100 * F.col("n") >= percent * F.col("after.n"))
+    useful = F.when(F.col("k") == 2, with_one(F.coalesce("before", "after"))).otherwise(with_many)
+    shared = Window.partitionBy("id")
+    lists = stored(near.where(useful).select("token", "id", "n", "pos", F.sum("k").over(shared).alias("shared")), "lists")
 
     within = members.where("group_id <> id").select(F.col("group_id").alias("a"), F.col("id").alias("b"))
     links = verified(docs, _stars(_labelled(lists, None, "id"), 1, percent).union(within), percent).checkpoint()
@@ -203,8 +231,8 @@ def similar_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
     # what is still apart: all members of the groups of a list, and all members of a group
     entries = lists.withColumnRenamed("id", "group_id").join(members.select("group_id", "id"), "group_id", "left").select("token", F.coalesce("id", "group_id").alias("id"), "n", "pos")
-    apart = _crossing(_labelled(entries, links, "id"), may_match(F.col("x.n"), F.col("x.pos"), F.col("y.n"), F.col("y.pos"), percent))
-    apart = apart.union(_crossing(_labelled(members.withColumnRenamed("group_id", "token").select("token", "id"), links, "id"), F.lit(True)))
+    apart = _crossing(_labelled(entries, links, "id"), sets, may_match(F.col("x.n"), F.col("x.pos"), F.col("y.n"), F.col("y.pos"), percent), percent)
+    apart = apart.union(_crossing(_labelled(members.withColumnRenamed("group_id", "token").select("token", "id", "n"), links, "id"), sets, F.lit(True), percent))
     links = links.union(verified(docs, apart, percent)).checkpoint()
 
     relabel = classes.select("set_key", "id").join(connected_components(links).withColumnRenamed("node", "id"), "id", "left").select("set_key", F.coalesce("component", "id").alias("component_id"))
