@@ -41,6 +41,17 @@ def outputs(spark: SparkSession, sf_dir: str, *engines: str) -> DataFrame:
     return ground_truth(spark, sf_dir).select("*", F.explode(made).alias("o")).select("o.engine", "doc_id", "stratum", "corpus", "gt", "o.hyp")
 
 
+#: Letters that an engine without diacritics reads, and what it reads instead.
+ACCENTED, PLAIN = "àâäáãåçéèêëíîïìñóôöòõúûüùÿ", "aaaaaaceeeeiiiinooooouuuuy"
+
+
+def plain_letters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Outputs of an engine without diacritics, against whole texts as they are (no ASCII profile)."""
+    gt = F.coalesce("text", F.lit(""))
+    rows = spread(load(spark, sf_dir, "documents")).select(F.lit("plain_letters").alias("engine"), "doc_id", F.col("lang").alias("stratum"), F.col("source").alias("corpus"), gt.alias("gt"))
+    return rows.withColumn("hyp", F.translate("gt", ACCENTED, PLAIN))
+
+
 def lines(pairs: DataFrame) -> DataFrame:
     """One row per aligned line (from 0) of each pair: gt_line, hyp_line and their edit distance errors."""
     zipped = F.arrays_zip(F.split("gt", "\n").alias("g"), F.split("hyp", "\n").alias("h"))
