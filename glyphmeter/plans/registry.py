@@ -21,5 +21,5 @@ def register(oracle: str | None = None):
 
 
 def load_all() -> None:
-    for name in ("reports", "tokens", "statistics", "alignment"):
+    for name in ("reports", "tokens", "statistics", "alignment", "formats"):
         importlib.import_module(f"{__package__}.{name}")
