@@ -1,5 +1,7 @@
 """Formats, corpora in folders, history, resampling and the event stream on small cases."""
 
+import os
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -66,3 +68,15 @@ def test_replay_drops_repeated_deliveries(spark, tmp_path):
     assert sorted(r["seq"] for r in jobs.drain(jobs.replay(events, 2), "t").collect()) == [3, 4, 5]
     got = {r["job_id"]: r["last_seq"] for r in jobs.drain(jobs.progress(events), "p", "job_id").collect()}
     assert got == {0: 4, 1: 5}
+
+
+def test_late_files_count(spark, tmp_path):
+    """One file a trigger, the newest first: five events four weeks apart from the next file's, the first file delivered again at the end."""
+    for k, week in enumerate((8, 4, 0, 8)):
+        rows = spark.range(week * 10, week * 10 + 5).select(F.col("id").alias("event_id"), F.timestamp_seconds(F.lit(week * 7 * 86400)).alias("ts"), F.lit(1).cast("long").alias("user_id"), F.lit("view").alias("event_type"), F.lit(1.0).alias("value"), F.lit("{}").alias("props"))
+        rows.coalesce(1).write.parquet(str(tmp_path / "log" / str(k)))
+        for f in (tmp_path / "log" / str(k)).glob("part-*"):
+            os.utime(f, (1_000_000 + k * 100,) * 2)  # the stream takes the oldest file first
+    events = jobs.event_stream(spark, str(tmp_path / "log" / "*"), files_per_trigger=1)
+    assert sorted(r["events"] for r in jobs.drain(jobs.windows(events), "w", "start", "kind").collect()) == [5, 5, 10]
+    assert sorted(r["seq"] for r in jobs.drain(jobs.replay(events, -1), "r").collect()) == [*range(5), *range(40, 45), *range(80, 85)]
