@@ -9,9 +9,11 @@ ORACLES = {}
 
 
 def register(oracle: str | None = None):
-    """Name a query function (spark, sf_dir) after itself, with DuckDB SQL that gives the same rows where there is one."""
+    """Name a query function (spark, sf_dir) after itself, with DuckDB SQL that gives the same rows where there is one; a name is given once."""
 
     def keep(f):
+        if f.__name__ in QUERIES:
+            raise ValueError(f"a query named {f.__name__} is already registered")
         QUERIES[f.__name__] = f
         if oracle:
             ORACLES[f.__name__] = oracle

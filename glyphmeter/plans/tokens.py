@@ -107,6 +107,17 @@ SELECT engine, CAST(sum(g) AS BIGINT) AS wanted, CAST(sum(least(g, h)) AS BIGINT
 
 
 _sequences("year_preservation", r"\b(?:1[0-9]{3}|20[0-2][0-9])\b", "Years of the ground truth that the output keeps, as multisets.")
+
+
+@register()
+def document_year_preservation(spark, sf_dir):
+    """Years of each text that its output keeps, as multisets, and their share; of texts without a year there is none."""
+    years = derived.outputs(spark, sf_dir).select("engine", "doc_id", *[T.matches(F.col(c), r"\b(?:1[0-9]{3}|20[0-2][0-9])\b").alias(a) for c, a in (("gt", "g"), ("hyp", "h"))]).where("size(g) > 0")
+    times = lambda ys, y: F.size(F.filter(ys, lambda x: x == y))
+    kept = F.aggregate(F.array_distinct("g"), F.lit(0), lambda n, y: n + F.least(times(F.col("g"), y), times(F.col("h"), y)))
+    return years.select("engine", "doc_id", F.size("g").cast("bigint").alias("wanted"), kept.cast("bigint").alias("kept"), (kept / F.size("g")).alias("recall"))
+
+
 _sequences("number_preservation", r"[0-9]+", "Runs of digits that the output keeps, as multisets.")
 _sequences("capitalised_preservation", r"\b[A-Z][a-z]+\b", "Capitalised words that the output keeps, as multisets.")
 
