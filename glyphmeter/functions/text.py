@@ -40,13 +40,18 @@ def matches(text: Column, pattern: str) -> Column:
 FLESCH = {"en": (206.835, 1.015, 84.6), "fr": (207.0, 1.015, 73.6)}
 
 
-def flesch(text: Column, lang: str = "en") -> Column:
+# Letters and vowels of words under the ASCII profile, and in texts as they are.
+LETTERS = {False: ("[a-z]+", "[aeiouy]+"), True: (r"[\p{L}\p{M}]+", "[aeiouyàâäáãåéèêëíîïóôöòõøúûüùÿœæ]+")}
+
+
+def flesch(text: Column, lang: str = "en", as_written: bool = False) -> Column:
     """Reading ease; null without a word. Syllables are groups of vowels, at least one a word."""
     base, per_sentence, per_word = FLESCH[lang]
-    found = matches(F.lower(text), "[a-z]+")
+    letters, vowels = LETTERS[as_written]
+    found = matches(F.lower(text), letters)
     n = F.size(found)
     sentences = F.greatest(F.lit(1), F.size(matches(text, "[.!?]+")))
-    syllables = F.aggregate(found, F.lit(0), lambda s, w: s + F.greatest(F.lit(1), F.size(F.regexp_extract_all(w, F.lit("[aeiouy]+"), F.lit(0)))))
+    syllables = F.aggregate(found, F.lit(0), lambda s, w: s + F.greatest(F.lit(1), F.size(F.regexp_extract_all(w, F.lit(vowels), F.lit(0)))))
     return F.when(n > 0, F.lit(base) - F.lit(per_sentence) * (n / sentences) - F.lit(per_word) * (syllables / n))
 
 

@@ -23,9 +23,14 @@ def missing() -> Column:
     return F.greatest(F.col("g") - F.col("h"), F.lit(0))
 
 
-def error_class(token: Column) -> Column:
+#: What tells a word with characters beyond ASCII and a capital: under the ASCII profile, and in texts as they are.
+LOOKS = {False: (r"\?", "^[A-Z]"), True: (r"[^\x00-\x7F]", r"^\p{Lu}")}
+
+
+def error_class(token: Column, as_written: bool = False) -> Column:
     """A coarse class of a lost word, told by its look."""
-    return F.when(token.rlike("[0-9]"), "digit").when(token.rlike(r"\?"), "non_ascii").when(token.rlike("^[A-Z]"), "capital").when(token.rlike("[.,;:!]$"), "punctuation").when(F.length(token) <= 3, "short").otherwise("word")
+    beyond, capital = LOOKS[as_written]
+    return F.when(token.rlike("[0-9]"), "digit").when(token.rlike(beyond), "non_ascii").when(token.rlike(capital), "capital").when(token.rlike("[.,;:!]$"), "punctuation").when(F.length(token) <= 3, "short").otherwise("word")
 
 
 ERROR_CLASS_SQL = r"CASE WHEN regexp_matches(token, '[0-9]') THEN 'digit' WHEN regexp_matches(token, '\?') THEN 'non_ascii' WHEN regexp_matches(token, '^[A-Z]') THEN 'capital' WHEN regexp_matches(token, '[.,;:!]$') THEN 'punctuation' WHEN length(token) <= 3 THEN 'short' ELSE 'word' END"

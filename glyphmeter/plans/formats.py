@@ -73,7 +73,7 @@ def marker_counts(spark, sf_dir):
 SELECT engine, count(*) AS documents, avg(len(list_filter(list_distinct(g), lambda x: list_contains(h, x))) / len(list_distinct(g))) AS recall FROM y WHERE len(g) > 0 GROUP BY engine""")
 def distinct_year_recall(spark, sf_dir):
     """The share of a text's distinct years that its output keeps, however often each is there; year_preservation counts every one."""
-    years = lambda c: F.array_distinct(matches(F.col(c), r"\b(?:1[0-9]{3}|20[0-2][0-9])\b"))
+    years = lambda c: F.array_distinct(matches(F.col(c), ("(?U)" if derived.is_as_written() else "") + r"\b(?:1[0-9]{3}|20[0-2][0-9])\b"))
     rows = derived.outputs(spark, sf_dir).select("engine", years("gt").alias("g"), years("hyp").alias("h")).where("size(g) > 0")
     return rows.groupBy("engine").agg(F.count(F.lit(1)).alias("documents"), F.avg(F.size(F.array_intersect("g", "h")) / F.size("g")).alias("recall"))
 

@@ -23,5 +23,5 @@ def register(oracle: str | None = None):
 
 
 def load_all() -> None:
-    for name in ("reports", "tokens", "statistics", "alignment", "formats"):
+    for name in ("reports", "tokens", "statistics", "alignment", "formats", "whole"):
         importlib.import_module(f"{__package__}.{name}")

@@ -93,12 +93,14 @@ def hallucination_metrics(spark, sf_dir):
     return a.groupBy("engine").agg(F.avg(F.least(F.lit(9.99), F.col("nh") / F.col("ng"))).alias("length_ratio"), F.avg(F.greatest(F.lit(0.0), (F.col("nh") - F.col("ng")) / F.col("ng"))).alias("net_insertion"), F.avg("anchor").alias("anchor"), F.avg(((F.col("nh") > 1.3 * F.col("ng")) | (F.col("anchor") < 0.6)).cast("int")).alias("flagged"))
 
 
-def _sequences(name: str, pattern: str, doc: str):
+def _sequences(name: str, pattern: str, as_written: str, doc: str):
+    """as_written: the pattern for texts as they are, whose words have letters beyond ASCII."""
     sql = rf"""WITH {OUTPUTS_SQL}, x AS (SELECT engine, doc_id, t, CAST(sum(s) AS BIGINT) AS g, CAST(sum(1 - s) AS BIGINT) AS h FROM (SELECT engine, doc_id, 1 AS s, unnest(regexp_extract_all(gt, '{pattern}')) AS t FROM outputs UNION ALL SELECT engine, doc_id, 0, unnest(regexp_extract_all(hyp, '{pattern}')) FROM outputs) GROUP BY engine, doc_id, t)
 SELECT engine, CAST(sum(g) AS BIGINT) AS wanted, CAST(sum(least(g, h)) AS BIGINT) AS kept FROM x GROUP BY engine"""
 
     def query(spark, sf_dir):
-        side = lambda c, g: F.transform(T.matches(F.col(c), pattern), lambda w: F.struct(w.alias("t"), F.lit(g).alias("g")))
+        found = as_written if derived.is_as_written() else pattern
+        side = lambda c, g: F.transform(T.matches(F.col(c), found), lambda w: F.struct(w.alias("t"), F.lit(g).alias("g")))
         x = derived.outputs(spark, sf_dir).select("engine", "doc_id", F.explode(F.concat(side("gt", 1), side("hyp", 0))).alias("x")).groupBy("engine", "doc_id", "x.t").agg(F.sum("x.g").alias("g"), F.sum(1 - F.col("x.g")).alias("h"))
         return x.groupBy("engine").agg(F.sum("g").alias("wanted"), F.sum(hits()).alias("kept"))
 
@@ -106,20 +108,20 @@ SELECT engine, CAST(sum(g) AS BIGINT) AS wanted, CAST(sum(least(g, h)) AS BIGINT
     register(sql)(query)
 
 
-_sequences("year_preservation", r"\b(?:1[0-9]{3}|20[0-2][0-9])\b", "Years of the ground truth that the output keeps, as multisets.")
+_sequences("year_preservation", r"\b(?:1[0-9]{3}|20[0-2][0-9])\b", r"(?U)\b(?:1[0-9]{3}|20[0-2][0-9])\b", "Years of the ground truth that the output keeps, as multisets.")
 
 
 @register()
 def document_year_preservation(spark, sf_dir):
     """Years of each text that its output keeps, as multisets, and their share; of texts without a year there is none."""
-    years = derived.outputs(spark, sf_dir).select("engine", "doc_id", *[T.matches(F.col(c), r"\b(?:1[0-9]{3}|20[0-2][0-9])\b").alias(a) for c, a in (("gt", "g"), ("hyp", "h"))]).where("size(g) > 0")
+    years = derived.outputs(spark, sf_dir).select("engine", "doc_id", *[T.matches(F.col(c), ("(?U)" if derived.is_as_written() else "") + r"\b(?:1[0-9]{3}|20[0-2][0-9])\b").alias(a) for c, a in (("gt", "g"), ("hyp", "h"))]).where("size(g) > 0")
     times = lambda ys, y: F.size(F.filter(ys, lambda x: x == y))
     kept = F.aggregate(F.array_distinct("g"), F.lit(0), lambda n, y: n + F.least(times(F.col("g"), y), times(F.col("h"), y)))
     return years.select("engine", "doc_id", F.size("g").cast("bigint").alias("wanted"), kept.cast("bigint").alias("kept"), (kept / F.size("g")).alias("recall"))
 
 
-_sequences("number_preservation", r"[0-9]+", "Runs of digits that the output keeps, as multisets.")
-_sequences("capitalised_preservation", r"\b[A-Z][a-z]+\b", "Capitalised words that the output keeps, as multisets.")
+_sequences("number_preservation", r"[0-9]+", r"[0-9]+", "Runs of digits that the output keeps, as multisets.")
+_sequences("capitalised_preservation", r"\b[A-Z][a-z]+\b", r"(?U)\b\p{Lu}[\p{Ll}\p{M}]+\b", "Capitalised words that the output keeps, as multisets.")
 
 
 @register(rf"""WITH {OUTPUTS_SQL}, r AS (SELECT DISTINCT unnest(regexp_extract_all(upper(gt), '\b[IVXLCDM]+\b')) AS numeral FROM gt),
@@ -127,7 +129,7 @@ v AS (SELECT numeral, list_transform(string_split(numeral, ''), lambda c: CASE c
 SELECT numeral, CAST(list_sum([CASE WHEN i < len(d) AND d[i] < d[i + 1] THEN -d[i] ELSE d[i] END for i in range(1, len(d) + 1)]) AS INTEGER) AS value FROM v""")
 def roman_numerals(spark, sf_dir):
     """Every distinct Roman numeral of the ground truth and its value."""
-    found = derived.ground_truth(spark, sf_dir).select(F.explode(T.matches(F.upper("gt"), r"\b[IVXLCDM]+\b")).alias("numeral")).distinct()
+    found = derived.ground_truth(spark, sf_dir).select(F.explode(T.matches(F.upper("gt"), ("(?U)" if derived.is_as_written() else "") + r"\b[IVXLCDM]+\b")).alias("numeral")).distinct()
     return found.withColumn("value", T.roman_value(F.col("numeral")))
 
 
@@ -138,7 +140,7 @@ _FLESCH = r"(206.835 - 1.015 * (len(regexp_extract_all(lower({0}), '[a-z]+')) /
 SELECT engine, avg(d) AS mean_delta, quantile_cont(d, 0.5) AS median_delta, min(d) AS min_delta, max(d) AS max_delta, count(*) FILTER (WHERE d > 5) AS easier, count(*) FILTER (WHERE d < -5) AS harder FROM d GROUP BY engine""")
 def flesch_delta(spark, sf_dir):
     """Change of reading ease from ground truth to output."""
-    d = derived.outputs(spark, sf_dir).select("engine", (T.flesch(F.col("hyp")) - T.flesch(F.col("gt"))).alias("d")).where("d IS NOT NULL")
+    d = derived.outputs(spark, sf_dir).select("engine", (T.flesch(F.col("hyp"), as_written=derived.is_as_written()) - T.flesch(F.col("gt"), as_written=derived.is_as_written())).alias("d")).where("d IS NOT NULL")
     return d.groupBy("engine").agg(F.avg("d").alias("mean_delta"), F.percentile("d", 0.5).alias("median_delta"), F.min("d").alias("min_delta"), F.max("d").alias("max_delta"), F.count_if(F.col("d") > 5).alias("easier"), F.count_if(F.col("d") < -5).alias("harder"))
 
 
@@ -153,7 +155,7 @@ def error_class_distribution(spark, sf_dir):
 
 
 def _classes(spark, sf_dir):
-    return _tokens(spark, sf_dir).where("g > h").groupBy("engine", error_class(F.col("token")).alias("class")).agg(F.sum(missing()).alias("n"))
+    return _tokens(spark, sf_dir).where("g > h").groupBy("engine", error_class(F.col("token"), derived.is_as_written()).alias("class")).agg(F.sum(missing()).alias("n"))
 
 
 _JS = f"""WITH {CLASSES_SQL}, e AS (SELECT DISTINCT engine FROM cls), c AS (SELECT DISTINCT class FROM cls),
@@ -178,7 +180,7 @@ b AS (SELECT x.class AS class_a, y.class AS class_b, count(*) AS both_docs FROM
 SELECT class_a, class_b, both_docs, CAST(both_docs AS DOUBLE) / (p.n + q.n - both_docs) AS jaccard FROM b JOIN n p ON p.class = class_a JOIN n q ON q.class = class_b""")
 def taxonomy_cooccurrence(spark, sf_dir):
     """How often two error classes meet in a document, as a Jaccard index over documents."""
-    sets = _tokens(spark, sf_dir).where("g > h").groupBy("doc_id").agg(F.array_sort(F.collect_set(error_class(F.col("token")))).alias("s"))
+    sets = _tokens(spark, sf_dir).where("g > h").groupBy("doc_id").agg(F.array_sort(F.collect_set(error_class(F.col("token"), derived.is_as_written()))).alias("s"))
     single = sets.select(F.explode("s").alias("class")).groupBy("class").agg(F.count(F.lit(1)).alias("n"))
     pair = F.filter(F.flatten(F.transform("s", lambda a: F.transform("s", lambda b: F.struct(a.alias("class_a"), b.alias("class_b"))))), lambda p: p.class_a < p.class_b)
     both = sets.select(F.inline(pair)).groupBy("class_a", "class_b").agg(F.count(F.lit(1)).alias("both_docs"))

@@ -6,6 +6,9 @@ the sum over its lines, so the edit distance never meets more than a line and mi
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from contextvars import ContextVar
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,9 +33,33 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if len(df.inputFiles()) < cores else df
 
 
+_AS_WRITTEN = ContextVar("as_written", default=False)
+
+
+def is_as_written() -> bool:
+    """Whether the query that is being built reads texts as they are, with all their characters."""
+    return _AS_WRITTEN.get()
+
+
+def as_written(query: Callable, name: str) -> Callable:
+    """The same query over texts as they are instead of the ASCII profile."""
+
+    def whole(spark, sf_dir):
+        token = _AS_WRITTEN.set(True)
+        try:
+            return query(spark, sf_dir)
+        finally:
+            _AS_WRITTEN.reset(token)
+
+    whole.__name__, whole.__doc__ = name, query.__doc__
+    return whole
+
+
 def ground_truth(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, stratum, corpus, gt: whole texts under the ASCII profile (other characters become ?)."""
-    return spread(load(spark, sf_dir, "documents")).select("doc_id", F.col("lang").alias("stratum"), F.col("source").alias("corpus"), F.regexp_replace(F.coalesce("text", F.lit("")), r"[^\x00-\x7F]", "?").alias("gt"))
+    """doc_id, stratum, corpus, gt: whole texts, under the ASCII profile (other characters become ?) but for as_written queries."""
+    text = F.coalesce("text", F.lit(""))
+    gt = text if is_as_written() else F.regexp_replace(text, r"[^\x00-\x7F]", "?")
+    return spread(load(spark, sf_dir, "documents")).select("doc_id", F.col("lang").alias("stratum"), F.col("source").alias("corpus"), gt.alias("gt"))
 
 
 def outputs(spark: SparkSession, sf_dir: str, *engines: str) -> DataFrame:
@@ -66,6 +93,9 @@ def doc_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("cer", F.when(F.col("ref_chars") > 0, F.col("errors") / F.col("ref_chars")))
 
 
+#: The ground truth of the ASCII profile and of as_written queries in DuckDB.
+MASKED_SQL, WHOLE_SQL = r"regexp_replace(coalesce(text, ''), '[^\x00-\x7F]', '?', 'g') AS gt", "coalesce(text, '') AS gt"
+
 #: The same tables for DuckDB.
 OUTPUTS_SQL = r"""
 gt AS (SELECT doc_id, lang AS stratum, source AS corpus, regexp_replace(coalesce(text, ''), '[^\x00-\x7F]', '?', 'g') AS gt FROM documents),
