@@ -60,17 +60,40 @@ def test_packing_is_whole_gapless_and_tight(spark):
 def test_best_fit_equals_a_linear_search():
     rng = random.Random(1)
     for capacity in (1, 7, 16, 100):
-        lengths = np.array([rng.randrange(1, capacity + 1) for _ in range(300)])
-        bins, _ = packing.best_fit_decreasing(lengths, capacity)
-        left = []
-        for n in sorted(lengths.tolist(), reverse=True):
-            fits = [(x, i) for i, x in enumerate(left) if x >= n]
-            if fits:
-                left[min(fits)[1]] -= n
-            else:
-                left.append(capacity - n)
-        used = np.bincount(bins, lengths)
-        assert sorted(used.tolist()) == sorted(capacity - x for x in left)
+        for spread in (1, 3):
+            lengths = [-(-rng.randrange(1, capacity + 1) // spread) for _ in range(300)]
+            counts = {n: lengths.count(n) for n in set(lengths)}
+            plan, spans = packing.best_fit_decreasing(counts, capacity), {}
+            for (n, nth, first, each, offset), after in zip(plan, [*plan[1:], (None, 0)], strict=True):
+                for i in range((after[1] if after[0] == n else counts[n]) - nth):
+                    spans.setdefault(first + i // each, []).append((offset + i % each * n, n))
+            left = []
+            for n in sorted(lengths, reverse=True):
+                fits = [(x, i) for i, x in enumerate(left) if x >= n]
+                if fits:
+                    left[min(fits)[1]] -= n
+                else:
+                    left.append(capacity - n)
+            for own in spans.values():
+                assert [a for a, _ in sorted(own)] == list(np.cumsum([0] + [n for _, n in sorted(own)])[:-1])
+            assert sum(map(len, spans.values())) == len(lengths)
+            assert sorted(sum(n for _, n in own) for own in spans.values()) == sorted(capacity - x for x in left)
+
+
+def test_packing_is_one_best_fit_at_any_number_of_tasks(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").repartition(7)
+    got = packing.pack_documents(docs, PATH).select("length", "sequence_id").collect()
+    lengths, left = sorted((r.length for r in got), reverse=True), []
+    for n in lengths:
+        fits = [(x, i) for i, x in enumerate(left) if x >= n]
+        if fits:
+            left[min(fits)[1]] -= n
+        else:
+            left.append(4096 - n)
+    used = {}
+    for r in got:
+        used[r.sequence_id] = used.get(r.sequence_id, 0) + r.length
+    assert sorted(used.values()) == sorted(4096 - x for x in left) and len(used) <= 1.02 * -(-sum(lengths) // 4096)
 
 
 def test_components(spark):
@@ -141,7 +164,7 @@ def test_language_held_out_accuracy(spark, labelled):
 
 
 def test_language_edges(spark):
-    rows = [(1, None, "en", 0.5), (2, "", "en", 0.5), (3, "123 !!! \n", None, 0.5), (4, "the thing that was there", "en", 0.1), (4, "the thing that was there", "en", 0.1), (None, "die der das und", "de", 0.1)]
+    rows = [(1, None, "en", 0.5), (2, "", "en", 0.5), (3, "123 ½ ²³ Ⅷ ①② !!! \n", None, 0.5), (4, "the thing that was there", "en", 0.1), (4, "the thing that was there", "en", 0.1), (None, "die der das und", "de", 0.1)]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, score double")
     got = language.identify_documents(docs).collect()
     assert len(got) == 6 and all(r.lang_pred == "und" and r.score == 0 and r.rejected for r in got[:3])
@@ -152,10 +175,84 @@ def test_language_edges(spark):
     assert language.keep_identified(docs).columns == docs.columns
 
 
+def test_language_equals_a_plain_loop(spark):
+    import zstandard
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang")
+    extra = [(10**6, "the " * 60_000, None), (10**6 + 1, None, None), (10**6 + 2, "Ⅷ", None), (10**6 + 3, "él", None)]
+    docs = docs.union(spark.createDataFrame(extra, docs.schema))
+    known = language.fit(docs.where(~language.held_out(F.col("doc_id"))))
+    got = {r.doc_id: (r.lang_pred, round(r.score, 9)) for r in language.identify(docs, known).collect()}
+    for r in docs.collect():
+        words = re.sub(r"[\W\d_]+", " ", (r.text or "").lower()).strip()
+        if not any(c.isalpha() for c in words):
+            assert got[r.doc_id] == ("und", 0.0)
+            continue
+        sizes = {}
+        for lang, raw in known.raw.items():
+            encoder = zstandard.ZstdCompressor(level=language.LEVEL, dict_data=zstandard.ZstdCompressionDict(raw, dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_checksum=False, write_content_size=False, write_dict_id=False)
+            sizes[lang] = sum(len(encoder.compress(words[i : i + language.BLOCK].encode())) for i in range(0, len(words), language.BLOCK))
+        (best, first), (_, second) = sorted(sizes.items(), key=lambda x: (x[1], list(known.raw).index(x[0])))[:2]
+        margin = second / first - 1
+        assert got[r.doc_id] == (best, round(margin / (margin + language.MARGIN), 9))
+
+
+def test_every_language_is_learned(spark):
+    rows = [(i, f"zork{i % 3} blah{i % 3} wug{i % 3} " * (9000 if i % 3 == 2 else 3), f"l{i % 3}") for i in range(60)]
+    known = language.fit(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"))
+    assert set(known.raw) == {"l0", "l1", "l2"} and all(len(v) <= language.DICTIONARY_BYTES for v in known.raw.values())
+
+
+def plain_features(text):
+    """The hashed features of a text, by integers alone."""
+    words = [w.encode() for w in re.findall(r"[a-z0-9\u0080-\U0010ffff]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))]
+    full, mask = 1 << 64, (1 << 64) - 1
+
+    def mix(x):
+        x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 & mask
+        x = (x ^ x >> 27) * 0x94D049BB133111EB & mask
+        return x ^ x >> 31
+
+    def word(w):
+        return mix(sum((b + 1) * pow(0x9E3779B97F4A7C15, k, full) for k, b in enumerate(w)) & mask ^ len(w) << 56)
+
+    hashes, tags = [word(w) for w in words], [int(t) for t in toxicity._TAGS]
+    out = hashes + [mix(word(w[: toxicity.STEM]) ^ tags[0]) for w in words]
+    out += [mix((a * tags[g - 1] + b) & mask) for g in (1, 2, 3) for a, b in zip(hashes, hashes[g:])]
+    return {x >> 64 - toxicity.BITS for x in out}
+
+
+def test_toxicity_equals_a_plain_ftrl(spark):
+    import math
+
+    rng = random.Random(8)
+    rows = [(i, prose(rng, 12, 30) + (" vile é" if i % 4 == 0 else ""), int(i % 4 == 0)) for i in range(60)] + [(60, "", 0), (61, "a " * 20_000, 1)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, toxic int")
+    order = [r.doc_id for r in docs.orderBy(F.xxhash64(F.lit("order"), "doc_id")).select("doc_id").collect() if len(rows[r.doc_id][1]) <= toxicity.SAMPLE_BYTES]
+    z, n, bias = {}, {}, 1 << toxicity.BITS
+
+    def weight(k):
+        l1 = 0 if k == bias else toxicity.L1
+        x = z.get(k, 0.0)
+        return 0.0 if abs(x) <= l1 else -(x - math.copysign(l1, x)) / ((toxicity.BETA + math.sqrt(n.get(k, 0.0))) / toxicity.ALPHA + toxicity.L2)
+
+    for _ in range(toxicity.EPOCHS):
+        for i in order:
+            keys = plain_features(rows[i][1]) | {bias}
+            w = {k: weight(k) for k in keys}
+            g = 1 / (1 + math.exp(-sum(w.values()))) - rows[i][2]
+            for k in keys:
+                rate = (math.sqrt(n.get(k, 0.0) + g * g) - math.sqrt(n.get(k, 0.0))) / toxicity.ALPHA
+                z[k], n[k] = z.get(k, 0.0) + g - rate * w[k], n.get(k, 0.0) + g * g
+    got = {r.doc_id: r.score for r in toxicity.score(docs, toxicity.fit(docs)).collect()}
+    for i, text, _ in rows:
+        assert got[i] == pytest.approx(1 / (1 + math.exp(-sum(weight(k) for k in plain_features(text) | {bias}))), abs=1e-5)
+
+
 def test_toxicity_held_out(spark, labelled):
     docs, labels = labelled
-    sample, shards = toxicity.sampled_labels(labels.where(~language.held_out(F.col("doc_id"))))
-    got = toxicity.score(docs, toxicity.fit(docs.join(sample, "doc_id"), shards)).join(labels, "doc_id").where(language.held_out(F.col("doc_id")))
+    sample = toxicity.sampled_labels(labels.where(~language.held_out(F.col("doc_id"))))
+    got = toxicity.score(docs, toxicity.fit(docs.join(sample, "doc_id"))).join(labels, "doc_id").where(language.held_out(F.col("doc_id")))
     hit, wrong, low, high = got.agg(F.avg(F.when(F.col("toxic") == 1, F.col("predicted"))), F.avg(F.when(F.col("toxic") == 0, F.col("predicted"))), F.min("score"), F.max("score")).first()
     assert hit > 0.8 and wrong < 0.02 and 0 <= low and high <= 1
 
