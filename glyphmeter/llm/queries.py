@@ -99,9 +99,9 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A toxicity score for every document, learned from labelled ones that are not held out."""
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
     labels = table(spark, sf_dir, "labels", "doc_id", "toxic").where(~language.held_out(F.col("doc_id")))
-    sample, shards = toxicity.sampled_labels(labels)
+    sample = toxicity.sampled_labels(labels)
     # the sample is bounded by toxicity.SAMPLE_DOCS, so its ids can be broadcast
-    weights = toxicity.fit(docs.join(F.broadcast(sample), "doc_id"), shards)
+    weights = toxicity.fit(docs.join(F.broadcast(sample), "doc_id"))
     return toxicity.score(docs, weights).select("doc_id", language.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 

@@ -1,7 +1,7 @@
 """Toxicity: logistic regression by FTRL-proximal over hashed words, word pairs and skip-grams.
 
 Rates are per coordinate and the L1 term keeps the weights sparse, so the model is small enough to broadcast. Training
-runs in a few tasks, each over its share of a bounded sample, and their weights are averaged.
+is one sequential pass after another over a sample of bounded size, in one task, whatever the size of the corpus.
 """
 
 from __future__ import annotations
@@ -14,12 +14,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NOT_ALNUM, U64, mix64, word_hashes
+from .common import NOT_ALNUM, U64, mix64, release, word_hashes
 
-#: Bound of the training sample, in labelled documents, and the bytes of one; the documents of one training task.
-SAMPLE_DOCS = 16_000
-SAMPLE_BYTES = 65_536
-SHARD_DOCS = 8_000
+#: Bound of the training sample, in labelled documents, and the bytes of one.
+SAMPLE_DOCS = 8_000
+SAMPLE_BYTES = 32_768
 #: The feature space: 2**BITS weights at most; the last one is the bias.
 BITS = 20
 ALPHA, BETA, L1, L2 = 1.0, 1.0, 6.0, 0.1
@@ -70,7 +69,7 @@ class Ftrl:
         self.n[at] += g * g
 
 
-def train_shard(texts: list[str], labels: list[int]) -> tuple[np.ndarray, np.ndarray]:
+def train(texts: list[str], labels: list[int]) -> tuple[np.ndarray, np.ndarray]:
     """Indices and values of the nonzero weights after EPOCHS passes over the rows in their order."""
     rows = []
     for _, docs, index, n in features(pa.array(texts, pa.string())):
@@ -86,22 +85,21 @@ def train_shard(texts: list[str], labels: list[int]) -> tuple[np.ndarray, np.nda
     return kept, weights[kept]
 
 
-def fit(labelled: DataFrame, shards: int = 1) -> np.ndarray:
-    """Weights from a bounded sample of labelled rows (doc_id, text, toxic), averaged over the shards it is dealt to.
+def fit(labelled: DataFrame) -> np.ndarray:
+    """Weights from labelled rows (doc_id, text, toxic), which should be a bounded sample: one task reads them in an order given by a hash.
 
     Rows without label or text or with more than SAMPLE_BYTES bytes are not used; without rows all weights are 0.
     """
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(["pick", "doc_id"])
-        at, w = train_shard(part["text"].tolist(), part["toxic"].tolist())
+        part = part.sort_values(["pick", "doc_id", "text"])
+        at, w = train(part["text"].tolist(), part["toxic"].tolist())
         return pd.DataFrame({"at": at, "w": w})
 
     sample = labelled.select("doc_id", "text", "toxic").where("text IS NOT NULL AND toxic IS NOT NULL").where(F.octet_length("text") <= SAMPLE_BYTES)
-    sample = sample.withColumn("pick", F.xxhash64(F.lit("order"), "doc_id")).withColumn("shard", F.pmod("pick", F.lit(shards)))
-    mixed = sample.groupBy("shard").applyInPandas(run, "at bigint, w double").groupBy("at").agg((F.sum("w") / shards).alias("w"))
+    sample = sample.withColumn("pick", F.xxhash64(F.lit("order"), "doc_id"))
     weights = np.zeros((1 << BITS) + 1, np.float32)
-    for row in mixed.collect():  # at most 2**BITS + 1 rows
+    for row in sample.groupBy(F.lit(0).alias("all")).applyInPandas(run, "at bigint, w double").collect():  # at most 2**BITS + 1 rows
         weights[row["at"]] = row["w"]
     return weights
 
@@ -125,17 +123,12 @@ def score(docs: DataFrame, weights: np.ndarray, threshold: float = THRESHOLD) ->
                 sums[row : row + n] += np.bincount(pairs >> BITS, table[pairs & ((1 << BITS) - 1)], n)
             got = 1 / (1 + np.exp(-np.clip(sums, -35, 35)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(got), pa.array((got >= threshold).astype(np.int32))], ["doc_id", "score", "predicted"])
+        release()
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, score double, predicted int")
 
 
-def sampled_labels(labels: DataFrame) -> tuple[DataFrame, int]:
-    """About SAMPLE_DOCS labelled ids (doc_id, toxic) at most, chosen by a hash, and the shards to train them in.
-
-    An id with several labels gets the highest.
-    """
+def sampled_labels(labels: DataFrame) -> DataFrame:
+    """SAMPLE_DOCS labelled ids (doc_id, toxic) at most, the first by a hash. An id with several labels gets the highest."""
     ids = labels.select("doc_id", "toxic").where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    n = ids.count()
-    share = SAMPLE_DOCS / max(1, n)
-    sample = ids if share >= 1 else ids.where(F.xxhash64(F.lit("toxicity"), "doc_id") / F.lit(2.0**64) + 0.5 < share)
-    return sample, max(1, -(-min(n, SAMPLE_DOCS) // SHARD_DOCS))
+    return ids.orderBy(F.xxhash64(F.lit("toxicity"), "doc_id"), "doc_id").limit(SAMPLE_DOCS)
