@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -19,12 +20,14 @@ def table(spark: SparkSession, sf_dir: str, name: str, *cols: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a local session gets one of its own."""
     conf = spark.sparkContext.getConf()
     root = conf.get("spark.checkpoint.dir", None)
     if not root:
         root = spark.sparkContext.getCheckpointDir()
         if not root:
+            if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+                raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
             root = "file://" + tempfile.mkdtemp(prefix="glyphmeter-")
             spark.sparkContext.setCheckpointDir(root)
     return root.rstrip("/")
@@ -38,6 +41,15 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release() -> None:
+    """Gives a worker's freed memory back to the system; workers are reused, so later stages would carry it along."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # another C library than glibc
+        pass
+
+
 # --- words and shingles of UTF-8 texts, vectorised over a batch -------------------------------------------------
 
 _SPACE = np.zeros(256, bool)
@@ -51,7 +63,7 @@ _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _MULTIPLY = U64(0xD6E8FEB86659FD93)
 #: Bytes of text that are hashed at once; bounds the memory of a task.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 512 << 10
 _powers: dict[int, np.ndarray] = {}
 
 
@@ -61,7 +73,8 @@ def _power_table(base: int, n: int) -> np.ndarray:
         have = np.full(max(n, SLICE_BYTES + 1), base, dtype=U64)
         have[0] = 1
         have = np.multiply.accumulate(have)
-        _powers[base] = have
+        if n <= 2 * SLICE_BYTES:  # a larger one is for a single word and not kept
+            _powers[base] = have
     return have
 
 

@@ -17,7 +17,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, mix64, shingle_hashes
+from .common import U64, mix64, release, shingle_hashes
 
 WIDTH = 5
 #: Least share of an item's shingles, as a percentage.
@@ -131,6 +131,7 @@ def find_items(docs: DataFrame, items: DataFrame, percent: int = PERCENT) -> Dat
                         rows.append((doc_ids[row].as_py(), known.ids[i], len(known.sets[i]), shared, shared / len(known.sets[i])))
                 cols = list(zip(*rows, strict=True)) if rows else [()] * 5
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.float64() if k == 4 else pa.int64()) for k, c in enumerate(cols)], [c.split()[0] for c in FOUND.split(", ")])
+            release()
 
         return docs.mapInArrow(run, FOUND)
 
@@ -148,6 +149,7 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, percent: int = PERCENT)
                 for row, shingles in shingle_hashes(batch.column(at), WIDTH):
                     keep[row] = not index.value.contained(shingles, percent)
                 yield batch.filter(pa.array(keep))
+            release()
 
         docs = docs.mapInArrow(run, docs.schema)
     return docs

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import U64, shingle_hashes, stored
+from .common import U64, release, shingle_hashes, stored
 from .components import connected_components
 
 WIDTH = 5
@@ -30,12 +30,14 @@ WIDTH = 5
 PERCENT = 75
 #: The sketch has 2**SKETCH_BITS counters, dealt in blocks of 2**BLOCK_BITS; its ranks are one byte each.
 SKETCH_BITS, BLOCK_BITS = 20, 16
-#: Candidate documents whose requests are broadcast at most; more are joined by a shuffle.
-MAX_BROADCAST_REQUESTS = 1_000_000
+#: Bytes of requests or ids that are broadcast at most; more are joined by a shuffle.
+MAX_BROADCAST_BYTES = 8 << 20
 #: Rounds of stars before all pairs that are still apart are compared.
 STARS = 2
 #: Members that are compared with one copy of a document.
-FAN = 256
+FAN = 64
+#: Bytes of sets that a worker holds before it hands them on.
+SENT_BYTES = 2 << 20
 
 #: Bits of a set's parity bitmap; two sets differ in at least as many shingles as their bitmaps do in bits.
 PARITY_BITS = 1024
@@ -55,6 +57,7 @@ def shingle_ranks(docs: DataFrame) -> np.ndarray:
         blocks = [(k, np.flatnonzero(part), part[part > 0]) for k, part in enumerate(counts.reshape(-1, cells)) if part.any()]
         # what most cells need is a byte or two; the width is told by the length
         small = [(k, at.astype("<u2").tobytes(), n.astype("<u2" if n.max() < 1 << 16 else "<i8").tobytes()) for k, at, n in blocks]
+        release()
         yield pa.RecordBatch.from_arrays([pa.array([s[0] for s in small], pa.int32()), pa.array([s[1] for s in small], pa.binary()), pa.array([s[2] for s in small], pa.binary())], ["block", "cells", "counts"])
 
     def total(key: tuple, parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -95,6 +98,7 @@ def prefixes(docs: DataFrame, ranks: np.ndarray, percent: int) -> DataFrame:
             offsets = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int32)
             flat = np.concatenate([*parts, np.empty(0, U64)]).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(sets, pa.string()), pa.array(groups, pa.string()), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat)), parity], ["doc_id", "n", "set_key", "group_key", "prefix", "parity"])
+        release()
 
     return docs.select("doc_id", "text").mapInArrow(run, PREFIXES)
 
@@ -115,27 +119,38 @@ def parities_allow(n1: Column, parity1: Column, n2: Column, parity2: Column, per
     return (100 + percent) * apart <= (100 - percent) * (n1 + n2)
 
 
+def _sized(df: DataFrame, row_bytes: Column) -> DataFrame:
+    """df, to be broadcast if its rows have MAX_BROADCAST_BYTES at most."""
+    total = df.agg(F.coalesce(F.sum(row_bytes), F.lit(0))).first()[0]
+    return F.broadcast(df) if total <= MAX_BROADCAST_BYTES else df
+
+
 def verified(docs: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) of doc_ids whose exact sets are similar enough; at most FAN of a's are compared in one place."""
-    placed = pairs.select("a", "b").distinct().withColumn("salt", F.floor((F.row_number().over(Window.partitionBy("a").orderBy("b")) - 1) / FAN).cast("int"))
+    """The pairs (a, b) of doc_ids whose exact sets are similar enough; about FAN of a's are compared in one place."""
+    pairs = pairs.select("a", "b").distinct()
+    partners = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("partners"))
+    placed = pairs.join(partners, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.ceil(F.col("partners") / FAN)).cast("int").alias("salt")).checkpoint()
     ask = lambda doc, side: placed.select(F.col(doc).alias("doc_id"), F.struct("a", "salt", F.lit(side).alias("side")).alias("ask"))
     requests = ask("a", 0).distinct().union(ask("b", 1)).groupBy("doc_id").agg(F.collect_list("ask").alias("asks")).checkpoint()
-    small = requests.limit(MAX_BROADCAST_REQUESTS + 1).count() <= MAX_BROADCAST_REQUESTS
-    asked = docs.select("doc_id", "text").join(F.broadcast(requests) if small else requests, "doc_id")
+    asked = docs.select("doc_id", "text").join(_sized(requests, 64 + 40 * F.size("asks")), "doc_id")
     schema = pa.schema([("a", pa.int64()), ("salt", pa.int32()), ("side", pa.int32()), ("b", pa.int64()), ("items", pa.binary())])
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, size = [], 0
+        made = lambda: pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
         for batch in batches:
-            ids, asks, rows = batch.column(0), batch.column(2), []
+            ids, asks = batch.column(0), batch.column(2)
             for row, shingles in shingle_hashes(batch.column(1), WIDTH):
                 items = np.unique(shingles).tobytes()
                 for q in asks[row].as_py():
                     rows.append((q["a"], q["salt"], q["side"], ids[row].as_py(), items))
-                    if len(rows) * len(items) > 1 << 24 or len(rows) > 4096:
-                        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
-                        rows = []
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+                    size += len(items) + 64
+                    if size > SENT_BYTES:
+                        yield made()
+                        rows, size = [], 0
+        if rows:
+            yield made()
+        release()
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, own = None, np.empty(0, U64)
@@ -153,6 +168,7 @@ def verified(docs: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
                         links.append((at[0], b.as_py()))
             cols = list(zip(*links, strict=True)) if links else [(), ()]
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["a", "b"])
+        release()
 
     sent = asked.mapInArrow(send, "a bigint, salt int, side int, b bigint, items binary")
     return sent.repartition("a", "salt").sortWithinPartitions("a", "salt", "side").mapInArrow(compare, "a bigint, b bigint")
@@ -174,9 +190,9 @@ def _stars(lists: DataFrame, seed: int, percent: int) -> DataFrame:
     order, so there are no more candidates than entries, and those of a large group of copies mostly meet the same hub.
     """
     lists = lists.withColumn("order", -F.col("shared") if seed == 1 else F.xxhash64(F.lit(seed), "id"))
-    w = Window.partitionBy("token").orderBy("order", "id")
-    hub = {f"hub_{c}": F.first(c).over(w) for c in ("id", "n", "pos", "comp", "order")}
-    met = lists.withColumns(hub).where("hub_comp <> comp").where(may_match(F.col("hub_n"), F.col("hub_pos"), F.col("n"), F.col("pos"), percent))
+    hub = F.min(F.struct("order", "id", "n", "pos", "comp"))
+    hubs = lists.groupBy("token").agg(hub.alias("hub")).select("token", *[F.col(f"hub.{c}").alias(f"hub_{c}") for c in ("id", "n", "pos", "comp", "order")])
+    met = lists.join(hubs, "token").where("hub_comp <> comp").where(may_match(F.col("hub_n"), F.col("hub_pos"), F.col("n"), F.col("pos"), percent))
     first = F.min(F.struct("hub_order", "hub_id"))
     return met.groupBy(F.col("id").alias("b")).agg(first["hub_id"].alias("a")).select("a", "b")
 
@@ -186,11 +202,9 @@ def _crossing(lists: DataFrame, sets: DataFrame, condition: Column, percent: int
 
     sets (id, parity) has the bitmaps; they stand in the join's condition, so pairs that they rule out are never rows.
     """
-    w = Window.partitionBy("token")
-    open_ = lists.withColumns({"low": F.min("comp").over(w), "high": F.max("comp").over(w)}).where("low <> high").drop("low", "high")
-    counts = open_.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("k"))
-    major = counts.groupBy("token").agg(F.max_by("comp", F.struct("k", "comp")).alias("major"))
-    marked = open_.join(major, "token").withColumn("is_major", F.col("comp") == F.col("major")).drop("major").join(sets, "id")
+    counts = lists.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("k"))
+    major = counts.groupBy("token").agg(F.max_by("comp", F.struct("k", "comp")).alias("major"), F.count(F.lit(1)).alias("comps")).where("comps > 1").select("token", "major")
+    marked = lists.join(major, "token").withColumn("is_major", F.col("comp") == F.col("major")).drop("major").join(sets, "id")
     x, y = marked.where(~F.col("is_major")).alias("x"), marked.alias("y")
     met = (F.col("x.token") == F.col("y.token")) & (F.col("x.comp") != F.col("y.comp")) & (F.col("y.is_major") | (F.col("x.id") < F.col("y.id"))) & condition
     met &= parities_allow(F.col("x.n"), F.col("x.parity"), F.col("y.n"), F.col("y.parity"), percent)
@@ -202,7 +216,8 @@ def similar_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
     Two documents are linked if the Jaccard similarity of their sets of WIDTH-word shingles is percent or more. Texts
     with fewer words have their whole sequence as one shingle. Null and empty texts have an empty set and no links.
-    doc_id should be unique; rows that repeat it must repeat its text and come back repeated. Shingles are compared as 64-bit hashes.
+    Repeated rows come back repeated. Rows with one doc_id and different texts are one document to the links, which may
+    be those of either text. Shingles are compared as 64-bit hashes.
     """
     docs = docs.select("doc_id", "text")
     base = stored(prefixes(docs, shingle_ranks(docs), percent), "prefixes")
@@ -242,14 +257,14 @@ def similar_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 def keep_one_of_each(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The rows of docs, with all their columns, without those that a document with a smaller doc_id is linked to.
 
-    Of each component the smallest doc_id stays, once if it repeats. Rows without doc_id stay, as do texts without words.
+    Of each component the smallest doc_id stays, once for each different text it has. Rows without doc_id stay, as do
+    texts without words; an empty table gives an empty one.
     """
     found = stored(similar_components(docs, percent), "components").where("doc_id IS NOT NULL")
     copies = found.where("doc_id <> component_id").select("doc_id").distinct()
     repeated = found.groupBy("doc_id").count().where("count > 1").select("doc_id")
-    sized = lambda ids: F.broadcast(ids) if ids.limit(MAX_BROADCAST_REQUESTS + 1).count() <= MAX_BROADCAST_REQUESTS else ids
-    left = docs.join(sized(copies), "doc_id", "left_anti")
+    left = docs.join(_sized(copies, F.lit(32)), "doc_id", "left_anti")
     if repeated.isEmpty():
         return left.select(docs.columns)
-    repeated = sized(repeated)
-    return left.join(repeated, "doc_id", "left_anti").select(docs.columns).unionByName(left.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns))
+    repeated = _sized(repeated, F.lit(32))
+    return left.join(repeated, "doc_id", "left_anti").select(docs.columns).unionByName(left.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]).select(docs.columns))

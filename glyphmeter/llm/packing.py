@@ -7,23 +7,23 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 
-from .common import stored
+from .common import release, stored
 
 SEQUENCE = 4096
 END_ID = 1
-#: Pieces that one task packs; more pieces make more tasks, each leaving at most one sequence half empty.
-GROUP_PIECES = 50_000
 #: Bytes of text that are tokenised at once.
-SLICE_BYTES = 16 << 20
+SLICE_BYTES = 8 << 20
 _NONE = np.int64(1 << 40)
 
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
+#: part and nth: the task that made a piece, and how many of its length the task made before it.
+COUNTED = PIECES + ", part int, nth bigint"
 PACKED = PIECES + ", sequence_id bigint, offset bigint"
 
 
@@ -196,47 +196,54 @@ def _byte_chars() -> list[str]:
     return [chr(b) if b in own else chr(next(rest)) for b in range(256)]
 
 
-_tokenizers: dict[str, WordTokenizer] = {}
-
-
 def tokenize_pieces(docs: DataFrame, tokenizer_path: str, sequence: int = SEQUENCE, end_id: int = END_ID) -> DataFrame:
-    """Every document's ids and end_id, cut into pieces of at most sequence ids: doc_id, piece, start, length, ids_crc32.
+    """Every document's ids and end_id, cut into pieces of at most sequence ids: doc_id, piece, start, length, ids_crc32, part, nth.
 
-    docs has doc_id and text. Null and empty texts have the end id alone; texts of any length are taken whole.
+    docs has doc_id and text. Null and empty texts have the end id alone; texts of any length are taken whole. The
+    pieces should be stored before they are packed, as part and nth must not change any more.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = _tokenizers.get(tokenizer_path) or _tokenizers.setdefault(tokenizer_path, WordTokenizer(tokenizer_path))
+        tokenizer, part, seen = WordTokenizer(tokenizer_path), TaskContext.get().partitionId(), [0] * (sequence + 1)
         for batch in batches:
             rows = []
             for doc_id, ids in zip(batch.column(0).to_pylist(), tokenizer.texts(batch.column(1)), strict=True):
                 raw = np.append(ids, end_id).astype("<u4")
                 for piece, start in enumerate(range(0, len(raw), sequence)):
-                    part = raw[start : start + sequence]
-                    rows.append((doc_id, piece, start, len(part), zlib.crc32(part.tobytes())))
-            cols = list(zip(*rows, strict=True)) if rows else [()] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])
+                    own = raw[start : start + sequence]
+                    rows.append((doc_id, piece, start, len(own), zlib.crc32(own.tobytes()), part, seen[len(own)]))
+                    seen[len(own)] += 1
+            cols = list(zip(*rows, strict=True)) if rows else [()] * 7
+            types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], [c.split()[0] for c in COUNTED.split(", ")])
+        del tokenizer
+        release()
 
-    return docs.select("doc_id", "text").mapInArrow(run, PIECES)
+    return docs.select("doc_id", "text").mapInArrow(run, COUNTED)
 
 
 class OpenBins:
-    """Open bins by remaining capacity; a segment tree over the capacities finds the tightest that still fits."""
+    """Open bins by remaining capacity, as runs of bins that are filled alike; a segment tree over the capacities finds the tightest that still fits."""
 
     def __init__(self, capacity: int):
         self.leaves = 1 << capacity.bit_length()
         self.count = [0] * (2 * self.leaves)
-        self.bins: list[list[int]] = [[] for _ in range(capacity + 1)]
+        self.runs: list[list[tuple[int, int]]] = [[] for _ in range(capacity + 1)]
 
-    def add(self, left: int, bin_: int) -> None:
-        self.bins[left].append(bin_)
+    def _change(self, left: int, by: int) -> None:
         node = left + self.leaves
         while node:
-            self.count[node] += 1
+            self.count[node] += by
             node >>= 1
 
-    def take(self, need: int) -> tuple[int, int] | None:
-        """(remaining capacity, bin) of a tightest open bin with at least need left, taken out; None if there is none."""
+    def add(self, left: int, first: int, bins: int) -> None:
+        """Open the bins from first on, each with so much left; full ones are closed."""
+        if left and bins:
+            self.runs[left].append((first, bins))
+            self._change(left, 1)
+
+    def take(self, need: int) -> tuple[int, int, int] | None:
+        """(remaining capacity, first bin, bins) of a run of tightest bins with at least need left, taken out; None if there is none."""
         count, node = self.count, need + self.leaves
         if not count[node]:
             while node > 1 and (node & 1 or not count[node + 1]):
@@ -247,45 +254,71 @@ class OpenBins:
             while node < self.leaves:
                 node = 2 * node if count[2 * node] else 2 * node + 1
         left = node - self.leaves
-        bin_ = self.bins[left].pop()
-        while node:
-            count[node] -= 1
-            node >>= 1
-        return left, bin_
+        first, bins = self.runs[left].pop()
+        self._change(left, -1)
+        return left, first, bins
 
 
-def best_fit_decreasing(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
-    """Bin and offset of every length, the longest placed first, each into the tightest open bin."""
-    bins, offsets = np.zeros(len(lengths), np.int64), np.zeros(len(lengths), np.int64)
-    tree, made = OpenBins(capacity), 0
-    for i in np.argsort(-lengths, kind="stable").tolist():
-        n = int(lengths[i])
-        if found := tree.take(n):
-            left, bin_ = found
-        else:
-            left, bin_, made = capacity, made, made + 1
-        bins[i], offsets[i] = bin_, capacity - left
-        if left > n:
-            tree.add(left - n, bin_)
-    return bins, offsets
+def best_fit_decreasing(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int]]:
+    """How best fit decreasing packs counts[n] pieces of each length n, the longest first, each into the tightest open bin.
+
+    Rows (length, nth, bin, each, offset) in the order of length and nth: the pieces of the length from the nth on, up to
+    the next row, go into the bins from bin on, each of them into one bin, from its offset on. Pieces of one length are
+    alike, and a bin that took one and can take another is the tightest for it, so runs of equal bins are filled
+    together: the work grows with the lengths and their runs, not with the pieces.
+    """
+    tree, made, rows = OpenBins(capacity), 0, []
+    for n in sorted((n for n, c in counts.items() if c), reverse=True):
+        nth = 0
+        while nth < counts[n]:
+            rest = counts[n] - nth
+            if found := tree.take(n):
+                left, first, bins = found
+            else:
+                left, first, bins = capacity, made, -(-rest // (capacity // n))
+                made += bins
+            each = left // n
+            whole = min(bins, rest // each)
+            if whole:
+                rows.append((n, nth, first, each, capacity - left))
+                tree.add(left - each * n, first, whole)
+                nth += whole * each
+            if whole < bins and nth < counts[n]:
+                last = counts[n] - nth  # fewer than fill a bin
+                rows.append((n, nth, first + whole, each, capacity - left))
+                tree.add(left - last * n, first + whole, 1)
+                nth, whole = nth + last, whole + 1
+            tree.add(left, first + whole, bins - whole)
+    return sorted(rows)
 
 
 def pack(pieces: DataFrame, sequence: int = SEQUENCE) -> DataFrame:
-    """pieces with sequence_id and offset: no sequence above the limit, no gaps within one.
+    """pieces (as tokenize_pieces gives them, stored) with sequence_id and offset: no sequence above the limit, no gaps within one.
 
-    The pieces are dealt evenly into groups of about GROUP_PIECES, whatever their keys, and each group is packed by
-    one task. Repeated rows are packed each for itself; no pieces give no sequences.
+    One packing of all pieces, whatever their number: the counts of the lengths come to the driver, at most one for
+    each of them, and the plan made of them goes to the tasks. A piece finds its place in the plan by its rank among
+    those of its length: nth, and how many of the length the tasks before its own made. Repeated rows are packed each
+    for itself; no pieces give no sequences.
     """
-    groups = max(1, -(-pieces.count() // GROUP_PIECES))
+    made = pieces.groupBy("length", "part").agg(F.count(F.lit(1)).alias("n"))
+    before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = made.withColumn("earlier", F.coalesce(F.sum("n").over(before), F.lit(0))).groupBy("part").agg(F.map_from_entries(F.collect_list(F.struct("length", "earlier"))).alias("earlier"))
+    counts = {r[0]: r[1] for r in pieces.groupBy("length").count().collect()}
+    plan = np.array(best_fit_decreasing(counts, sequence), np.int64).reshape(-1, 5)
+    known = pieces.sparkSession.sparkContext.broadcast(plan)
+    ranked = pieces.join(earlier, "part").select(*[c.split()[0] for c in PIECES.split(", ")], (F.col("nth") + F.col("earlier")[F.col("length")]).alias("nth"))
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        whole = [p for p in parts if len(p)]
-        if whole:
-            group = pd.concat(whole, ignore_index=True)
-            bins, offsets = best_fit_decreasing(group["length"].to_numpy(), sequence)
-            yield group.assign(sequence_id=bins + (TaskContext.get().partitionId() << 32), offset=offsets)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        plan = known.value
+        keys = (plan[:, 0] << 48) + plan[:, 1]
+        for batch in batches:
+            length, nth = batch.column(3).to_numpy(), batch.column(5).to_numpy()
+            row = plan[np.searchsorted(keys, (length << 48) + nth, "right") - 1] if len(nth) else np.empty((0, 5), np.int64)
+            past = nth - row[:, 1]
+            place = [pa.array(row[:, 2] + past // row[:, 3]), pa.array(row[:, 4] + past % row[:, 3] * length)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(5)), *place], [c.split()[0] for c in PACKED.split(", ")])
 
-    return pieces.repartition(groups).mapInPandas(run, PACKED)
+    return ranked.mapInArrow(run, PACKED)
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, sequence: int = SEQUENCE, end_id: int = END_ID) -> DataFrame:
