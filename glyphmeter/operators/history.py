@@ -43,3 +43,17 @@ def baseline(runs: DataFrame, least_runs: int = 5, relative: float = 0.2) -> Dat
     past = runs.join(F.broadcast(last), "engine").where(F.struct("ts", "run_id") < F.struct("last.ts", "last.run_id")).groupBy("engine").agg(F.avg("cer").alias("mean_cer"), F.percentile("cer", 0.5).alias("median_cer"), F.count("cer").alias("runs"), F.max("last.cer").alias("latest")).where(F.col("runs") >= least_runs)
     change = F.try_divide(F.col("latest") - F.col("mean_cer"), F.col("mean_cer"))
     return past.select("engine", "runs", "mean_cer", "median_cer", "latest", change.alias("relative_delta"), (F.abs(change) > relative).alias("off_baseline"))
+
+
+def longitudinal(runs: DataFrame, least_runs: int = 3, least_change: float = 0.01) -> DataFrame:
+    """engine, runs, first_cer, last_cer and delta of engines with enough runs whose score has moved."""
+    at = F.struct("ts", "run_id")
+    ends = runs.where("cer IS NOT NULL").groupBy("engine").agg(F.count(F.lit(1)).alias("runs"), F.min_by("cer", at).alias("first_cer"), F.max_by("cer", at).alias("last_cer"))
+    return ends.withColumn("delta", F.col("last_cer") - F.col("first_cer")).where((F.col("runs") >= least_runs) & (F.abs("delta") >= least_change))
+
+
+def latest_percentile(runs: DataFrame) -> DataFrame:
+    """engine, latest score and the share of all scores, its own included, that are not above it."""
+    scored = runs.where("cer IS NOT NULL")
+    last = scored.groupBy("engine").agg(F.max_by("cer", F.struct("ts", "run_id")).alias("latest"))
+    return scored.join(last, "engine").groupBy("engine", "latest").agg((F.count_if(F.col("cer") <= F.col("latest")) / F.count(F.lit(1))).alias("share"))

@@ -23,5 +23,5 @@ def register(oracle: str | None = None):
 
 
 def load_all() -> None:
-    for name in ("reports", "tokens", "statistics", "alignment", "formats", "whole"):
+    for name in ("reports", "tokens", "statistics", "alignment", "formats", "whole", "errors", "philology", "rules", "runs"):
         importlib.import_module(f"{__package__}.{name}")

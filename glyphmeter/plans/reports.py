@@ -53,7 +53,8 @@ def worst_docs_topk(spark, sf_dir):
 SELECT engine, doc_id, CAST(line AS INTEGER) AS line, gt_line, hyp_line, line_cer FROM w ORDER BY line_cer DESC, engine, doc_id, line LIMIT 25""")
 def worst_lines_topk(spark, sf_dir):
     """A report of the 25 worst lines."""
-    rows = derived.lines(derived.outputs(spark, sf_dir)).where("length(gt_line) > 0 AND errors > 0")
+    # lines with an error are those that differ; a filter on errors would measure the distance twice
+    rows = derived.lines(derived.outputs(spark, sf_dir)).where("length(gt_line) > 0 AND gt_line <> hyp_line")
     return rows.select("engine", "doc_id", "line", "gt_line", "hyp_line", F.least(F.lit(1.0), F.col("errors") / F.length("gt_line")).alias("line_cer")).orderBy(F.desc("line_cer"), "engine", "doc_id", "line").limit(25)
 
 

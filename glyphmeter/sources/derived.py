@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import with_edit_distance
+from .shared import fresh_folder
 
 #: Engines of the built-in benchmark: name and the corruption that makes their output from the ground truth.
 ENGINES = {
@@ -87,16 +88,74 @@ def lines(pairs: DataFrame) -> DataFrame:
     return rows.select("engine", "doc_id", "stratum", "corpus", "line", text("z.g").alias("gt_line"), text("z.h").alias("hyp_line")).transform(with_edit_distance, "gt_line", "hyp_line", "errors")
 
 
+#: Where the document metrics of a session's tables are stored, by application, folder, profile and the files read.
+_METRICS: dict[tuple, str] = {}
+METRICS = "engine string, doc_id bigint, stratum string, corpus string, errors bigint, ref_chars bigint, cer double"
+
+
 def doc_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """engine, doc_id, stratum, corpus, errors, ref_chars, cer of every engine and document."""
-    rows = lines(outputs(spark, sf_dir)).groupBy("engine", "doc_id", "stratum", "corpus").agg(F.sum("errors").alias("errors"), F.sum(F.length("gt_line")).alias("ref_chars"))
+    """engine, doc_id, stratum, corpus, errors, ref_chars, cer of every engine and document.
+
+    Measured once for a session and its files and kept in the shared folder, as nearly every report reads them.
+    """
+    meta = F.col("_metadata")
+    files = load(spark, sf_dir, "documents").agg(F.count(F.lit(1)), F.sum(F.xxhash64(meta["file_path"], meta["file_size"], meta["file_modification_time"]).cast("decimal(38,0)")))
+    key = (spark.sparkContext.applicationId, sf_dir, is_as_written(), *files.first())
+    if key not in _METRICS:
+        path = fresh_folder(spark, "doc_metrics")
+        _measured(spark, sf_dir).write.parquet(path)
+        _METRICS[key] = path
+    return spark.read.schema(METRICS).parquet(_METRICS[key])
+
+
+def _measured(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = lines(outputs(spark, sf_dir)).groupBy("engine", "doc_id", "stratum", "corpus").agg(F.sum("errors").alias("errors"), F.sum(F.length("gt_line")).cast("bigint").alias("ref_chars"))
     return rows.withColumn("cer", F.when(F.col("ref_chars") > 0, F.col("errors") / F.col("ref_chars")))
 
 
+#: Engines that err in the ways of the nine classes, on texts as they are.
+VARIED = {
+    "plain_letters": lambda gt: F.translate(gt, ACCENTED, PLAIN),
+    "lower_case": lambda gt: F.lower(gt),
+    "spells_ligatures": lambda gt: F.replace(F.replace(F.replace(gt, F.lit("œ"), F.lit("oe")), F.lit("æ"), F.lit("ae")), F.lit("ß"), F.lit("ss")),
+    "splits_words": lambda gt: F.replace(F.replace(gt, F.lit("tion"), F.lit(" tion")), F.lit("ung "), F.lit(" ung ")),
+    "loses_words": lambda gt: F.replace(F.replace(gt, F.lit(" de "), F.lit(" ")), F.lit(" the "), F.lit(" ")),
+    "e_as_c": ENGINES["e_as_c"],
+}
+
+
+def varied(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """engine, doc_id, stratum, corpus, gt, hyp of the VARIED engines."""
+    docs = spread(load(spark, sf_dir, "documents")).select("doc_id", F.col("lang").alias("stratum"), F.col("source").alias("corpus"), F.coalesce("text", F.lit("")).alias("gt"))
+    made = F.array(*[F.struct(F.lit(e).alias("engine"), f(F.col("gt")).alias("hyp")) for e, f in VARIED.items()])
+    return docs.select("*", F.explode(made).alias("o")).select("o.engine", "doc_id", "stratum", "corpus", "gt", "o.hyp")
+
+
+#: Signs that stand for letters in the scribal ground truth, and what its engines write instead.
+SCRIBAL = (("per", "ꝑ"), ("pro", "ꝓ"), ("qui", "ꝗ"), ("con", "ꝯ"), (" et ", " ⁊ "), ("st", "ſt"))
+
+
+def scribal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """engine, doc_id, gt, hyp: texts written with medieval signs, read by an engine that keeps some of them and by one that writes them out."""
+    text = F.coalesce("text", F.lit(""))
+    gt = text
+    for letters, sign in SCRIBAL:
+        gt = F.replace(gt, F.lit(letters), F.lit(sign))
+    made = F.array(F.struct(F.lit("keeps_some").alias("engine"), F.translate(F.col("gt"), "ꝓ⁊ſ", "p7f").alias("hyp")), F.struct(F.lit("writes_out").alias("engine"), F.col("text").alias("hyp")))
+    docs = spread(load(spark, sf_dir, "documents")).select("doc_id", text.alias("text"), gt.alias("gt"))
+    return docs.select("doc_id", "gt", F.explode(made).alias("o")).select("o.engine", "doc_id", "gt", "o.hyp")
+
+
 #: The ground truth of the ASCII profile and of as_written queries in DuckDB.
 MASKED_SQL, WHOLE_SQL = r"regexp_replace(coalesce(text, ''), '[^\x00-\x7F]', '?', 'g') AS gt", "coalesce(text, '') AS gt"
 
 #: The same tables for DuckDB.
+_SCRIBAL_GT = "coalesce(text, '')"
+for _letters, _sign in SCRIBAL:
+    _SCRIBAL_GT = f"replace({_SCRIBAL_GT}, '{_letters}', '{_sign}')"
+SCRIBAL_SQL = f"""
+sc AS (SELECT doc_id, coalesce(text, '') AS text, {_SCRIBAL_GT} AS gt FROM documents),
+scribal AS (SELECT 'keeps_some' AS engine, doc_id, gt, translate(gt, 'ꝓ⁊ſ', 'p7f') AS hyp FROM sc UNION ALL SELECT 'writes_out', doc_id, gt, text FROM sc)"""
 OUTPUTS_SQL = r"""
 gt AS (SELECT doc_id, lang AS stratum, source AS corpus, regexp_replace(coalesce(text, ''), '[^\x00-\x7F]', '?', 'g') AS gt FROM documents),
 outputs AS (
