@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,14 +19,26 @@ def intervals(rows: DataFrame, key: str, unit: str, value: str, resamples: int =
     """
     hashed = rows.where(F.col(value).isNotNull()).select(F.col(key).alias("key"), F.xxhash64(F.lit(seed), unit).alias("unit"), F.col(value).cast("double").alias("value"))
 
+    # chances that a Poisson variable of mean 1 is at most 0, 1, 2, ...
+    steps = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(19)])
+    salts = np.arange(1, resamples + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+
+    def weights(units: np.ndarray) -> np.ndarray:
+        """A row of weights for each unit, from a hash of the unit and the resample."""
+        x = units[:, None] ^ salts
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        return np.searchsorted(steps, (x ^ (x >> np.uint64(31))) / 2.0**64, "right").astype(np.float64)
+
     def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums: dict[object, np.ndarray] = {}
         for batch in batches:
-            for name, unit, x in batch.itertuples(index=False):
-                weights = np.random.Generator(np.random.PCG64(unit & (2**64 - 1))).poisson(1, resamples)
-                at = sums.setdefault(name, np.zeros((2, resamples)))
-                at[0] += weights * x
-                at[1] += weights
+            for at in range(0, len(batch), 512):
+                part = batch.iloc[at : at + 512]
+                drawn = weights(part["unit"].to_numpy().astype(np.uint64))
+                for name, rows in part.groupby("key", sort=False).indices.items():
+                    x = part["value"].to_numpy()[rows]
+                    sums[name] = sums.get(name, 0) + np.stack([x @ drawn[rows], drawn[rows].sum(0)])
         for name, (total, weight) in sums.items():
             yield pd.DataFrame({"key": name, "k": np.arange(resamples), "total": total, "weight": weight})
 

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .ranks import running
+
 
 def latest_regression(runs: DataFrame, threshold: float = 0.01) -> DataFrame:
     """engine, previous, latest, delta and whether the latest run is worse by more than threshold; one row an engine.
@@ -29,9 +31,8 @@ def linear_trend(runs: DataFrame) -> DataFrame:
 
 def change_point(runs: DataFrame, least_segment: int = 3) -> DataFrame:
     """The split of each engine's series with the largest change of mean; the first of equal ones."""
-    by_time = Window.partitionBy("engine").orderBy("ts", "run_id")
-    s = runs.where("cer IS NOT NULL").select("engine", F.row_number().over(by_time).alias("k"), "cer", F.sum("cer").over(by_time.rowsBetween(Window.unboundedPreceding, -1)).alias("left"), F.sum("cer").over(Window.partitionBy("engine")).alias("all"), F.count(F.lit(1)).over(Window.partitionBy("engine")).alias("n"))
-    before, after = F.col("left") / (F.col("k") - 1), (F.col("all") - F.col("left")) / (F.col("n") - F.col("k") + 1)
+    s = running(runs.where("cer IS NOT NULL").select("engine", "ts", "run_id", "cer"), "engine", "cer", "ts", "run_id").withColumn("left", F.col("total") - F.col("cer"))
+    before, after = F.col("left") / (F.col("k") - 1), (F.col("whole") - F.col("left")) / (F.col("n") - F.col("k") + 1)
     cut = s.where((F.col("k") > least_segment) & (F.col("n") - F.col("k") + 1 >= least_segment)).select("engine", "k", before.alias("before"), after.alias("after"))
     best = F.max(F.struct(F.abs(F.col("after") - F.col("before")).alias("size"), (-F.col("k")).alias("k"), "before", "after")).alias("b")
     return cut.groupBy("engine").agg(best).select("engine", (-F.col("b.k") - 1).cast("bigint").alias("runs_before"), F.col("b.before").alias("mean_before"), F.col("b.after").alias("mean_after"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranks import running
+
 
 def micro_cer() -> Column:
     """Errors over reference characters; documents without a count stay out."""
@@ -40,14 +42,17 @@ def homogeneity(metrics: DataFrame) -> DataFrame:
 
 
 def reliability_curve(metrics: DataFrame, steps: int = 20) -> DataFrame:
-    """Mean CER of the easiest share of documents, for each step of the share; at least one document each.
-
-    Documents are ranked within their engine; the running mean needs no second pass.
-    """
-    by_cer = Window.partitionBy("engine").orderBy("cer", "doc_id")
-    rows = metrics.where("cer IS NOT NULL").select("engine", F.row_number().over(by_cer).alias("k"), F.avg("cer").over(by_cer.rowsBetween(Window.unboundedPreceding, 0)).alias("mean_cer"), F.count(F.lit(1)).over(Window.partitionBy("engine")).alias("n"))
+    """Mean CER of the easiest share of documents, for each step of the share; at least one document each."""
+    rows = running(metrics.where("cer IS NOT NULL").select("engine", "cer", "doc_id"), "engine", "cer", "cer", "doc_id")
     cut = rows.withColumn("step", F.explode(F.sequence(F.lit(1), F.lit(steps)))).where(F.col("k") == F.greatest(F.lit(1), F.floor(F.col("step") * F.col("n") / F.lit(steps))))
-    return cut.select("engine", "step", F.col("k").cast("bigint").alias("documents"), "mean_cer")
+    return cut.select("engine", "step", F.col("k").cast("bigint").alias("documents"), (F.col("total") / F.col("k")).alias("mean_cer"))
+
+
+def worst_share(metrics: DataFrame, share: float = 0.2) -> DataFrame:
+    """engine and the part of its whole error that its worst share of documents holds, at least one document."""
+    rows = running(metrics.where("cer IS NOT NULL").select("engine", "cer", "doc_id"), "engine", "cer", F.desc("cer"), "doc_id")
+    worst = F.sum(F.when(F.col("k") <= F.greatest(F.lit(1), F.floor(F.col("n") * share)), F.col("cer")))
+    return rows.groupBy("engine").agg(worst.alias("w"), F.sum("cer").alias("s")).where("s > 0").select("engine", (F.col("w") / F.col("s")).alias("share_of_worst_fifth"))
 
 
 def pareto_front(points: DataFrame, key: str, *minimise: str) -> DataFrame:

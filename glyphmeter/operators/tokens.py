@@ -2,17 +2,36 @@
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType, StringType, StructType
+
+
+_COUNTS = ArrayType(StructType().add("token", StringType()).add("g", LongType()).add("h", LongType()))
+#: White space as column functions split by it.
+_SPACE = re.compile(r"[ \t\n\x0b\f\r]+")
 
-from ..functions.text import words
+
+@F.pandas_udf(_COUNTS)
+def word_counts(gt: pd.Series, hyp: pd.Series) -> pd.Series:
+    """Every word of either text and how often it is in the first and in the second; null texts count as empty."""
+    out = []
+    for x, y in zip(gt.fillna(""), hyp.fillna(""), strict=True):
+        g, h = Counter(filter(None, _SPACE.split(x))), Counter(filter(None, _SPACE.split(y)))
+        out.append([{"token": w, "g": n, "h": h.get(w, 0)} for w, n in g.items()] + [{"token": w, "g": 0, "h": n} for w, n in h.items() if w not in g])
+    return pd.Series(out, dtype=object)
 
 
 def token_counts(pairs: DataFrame, *keep: str) -> DataFrame:
-    """engine, doc_id, token, g and h: how often each word is in the ground truth and in the output."""
-    side = lambda c, g: F.transform(words(F.col(c)), lambda w: F.struct(w.alias("token"), F.lit(g).alias("g")))
-    both = pairs.select("engine", "doc_id", *keep, F.explode(F.concat(side("gt", 1), side("hyp", 0))).alias("t"))
-    return both.groupBy("engine", "doc_id", *keep, F.col("t.token").alias("token")).agg(F.sum("t.g").alias("g"), F.sum(1 - F.col("t.g")).alias("h"))
+    """engine, doc_id, token, g and h: how often each word is in the ground truth and in the output.
+
+    Both texts of a pair are in one row, so words are counted where they are and nothing is shuffled for it.
+    """
+    return pairs.select("engine", "doc_id", *keep, F.inline(word_counts("gt", "hyp")))
 
 
 def hits() -> Column:

@@ -227,6 +227,4 @@ def facts_top5(spark, sf_dir):
 SELECT engine, sum(cer) FILTER (WHERE k <= greatest(1, n // 5)) / sum(cer) AS share_of_worst_fifth FROM k GROUP BY engine HAVING sum(cer) > 0""")
 def lever_concentration(spark, sf_dir):
     """The share of all error that the worst fifth of the documents holds."""
-    k = derived.doc_metrics(spark, sf_dir).where("cer IS NOT NULL").select("engine", "cer", F.row_number().over(Window.partitionBy("engine").orderBy(F.desc("cer"), "doc_id")).alias("k"), F.count(F.lit(1)).over(Window.partitionBy("engine")).alias("n"))
-    worst = F.sum(F.when(F.col("k") <= F.greatest(F.lit(1), F.floor(F.col("n") / 5)), F.col("cer")))
-    return k.groupBy("engine").agg(worst.alias("w"), F.sum("cer").alias("s")).where("s > 0").select("engine", (F.col("w") / F.col("s")).alias("share_of_worst_fifth"))
+    return report.worst_share(derived.doc_metrics(spark, sf_dir))

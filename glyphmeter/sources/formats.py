@@ -57,13 +57,36 @@ def _each(items: Column, f) -> Column:
     return F.transform(F.filter(items, lambda x: x.isNotNull()), f)
 
 
-def alto_lines(alto: Column) -> Column:
-    """Lines of all pages; a word that is divided at a line's end stands whole on its first line."""
-    word = lambda s: F.when(s["_SUBS_TYPE"] == "HypPart1", F.coalesce(s["_SUBS_CONTENT"], s["_CONTENT"])).otherwise(s["_CONTENT"])
-    kept = lambda line: F.filter(line["String"], lambda s: ~F.coalesce((s["_SUBS_TYPE"] == "HypPart2") & s["_SUBS_CONTENT"].isNotNull(), F.lit(False)))
-    line = lambda x: F.array_join(F.transform(kept(x), word), " ")
+def _block_lines(lines: Column) -> Column:
+    """Texts of the lines of a block; a word that is divided at a line's end stands whole on its first line."""
+    strings = _each(lines, lambda x: F.coalesce(x["String"], F.array()))
+    part = lambda s, n: F.coalesce(s["_SUBS_TYPE"] == f"HypPart{n}", F.lit(False))
+
+    def text(line: Column, i: Column) -> Column:
+        next_first = F.get(F.get(strings, i + 1), F.lit(0))
+        last_first = F.get(F.get(strings, i - 1), F.size(F.get(strings, i - 1)) - 1)
+        # without the whole word, its second half is on the next line; a half whose first one is missing stands for itself
+        second = F.when(part(next_first, 2), next_first["_CONTENT"]).otherwise("")
+        word = lambda s: F.when(part(s, 1), F.coalesce(s["_SUBS_CONTENT"], F.concat(F.regexp_replace(s["_CONTENT"], "-$", ""), second))).otherwise(s["_CONTENT"])
+        kept = F.filter(line, lambda s: ~(part(s, 2) & (s["_SUBS_CONTENT"].isNotNull() | F.coalesce(part(last_first, 1), F.lit(False)))))
+        return F.array_join(F.transform(kept, word), " ")
+
+    return F.transform(strings, text)
+
+
+def _alto_blocks(alto: Column) -> Column:
     blocks = F.flatten(_each(alto["Layout"]["Page"], lambda p: F.coalesce(p["PrintSpace"]["TextBlock"], F.array())))
-    return F.flatten(_each(blocks, lambda b: _each(b["TextLine"], line)))
+    return _each(blocks, lambda b: _block_lines(b["TextLine"]))
+
+
+def alto_lines(alto: Column) -> Column:
+    """Lines of all blocks of all pages."""
+    return F.flatten(_alto_blocks(alto))
+
+
+def alto_text(alto: Column) -> Column:
+    """The text of a document: its blocks, parted by a blank line; null where there is no document."""
+    return F.array_join(F.transform(F.filter(_alto_blocks(alto), lambda b: F.size(b) > 0), lambda b: F.array_join(b, "\n")), "\n\n")
 
 
 def page_lines(page: Column) -> Column:

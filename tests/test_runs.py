@@ -135,3 +135,26 @@ def test_markdown(spark):
     text = "# Title\n\n> quote **bold** and _it_ `code`\n- item [link](http://x) ![alt](y)\n1. one\n---\n```py\nx\n```"
     got = spark.createDataFrame([(text,)], "t string").select(markdown_text(F.col("t"))).first()[0]
     assert got.split() == ["Title", "quote", "bold", "and", "it", "code", "item", "link", "alt", "one", "x"]
+
+
+def test_divided_words_and_blocks(spark):
+    string = lambda c, t="", s="": f"<String CONTENT='{c}'" + (f" SUBS_TYPE='{t}'" if t else "") + (f" SUBS_CONTENT='{s}'" if s else "") + "/>"
+    line = lambda *s: "<TextLine>" + "".join(s) + "</TextLine>"
+    block = lambda *x: "<TextBlock>" + "".join(x) + "</TextBlock>"
+    body = block(line(string("a"), string("exam-", "HypPart1")), line(string("ple", "HypPart2"), string("b"))) + block(line(string("who-", "HypPart1", "whole")), line(string("le", "HypPart2", "whole"), string("c"))) + block(line(string("ple", "HypPart2"), string("d")))
+    xml = f"<alto><Layout><Page><PrintSpace>{body}</PrintSpace></Page></Layout></alto>"
+    got = spark.createDataFrame([(xml,)], "x string").select(formats.alto_text(formats.read_alto(F.col("x")))).first()[0]
+    assert got == "a example\nb\n\nwhole\nc\n\nple d"
+
+
+def test_running_places_equal_a_window(spark):
+    from pyspark.sql import Window
+
+    from glyphmeter.operators.ranks import running
+
+    rows = spark.range(500).select((F.col("id") % 3).alias("key"), (F.col("id") * 7919 % 101).cast("double").alias("v"), "id")
+    got = sorted((r.key, r.id, r.k, r.total, r.n, r.whole) for r in running(rows, "key", "v", "v", "id").collect())
+    w = Window.partitionBy("key").orderBy("v", "id")
+    plain = rows.select("key", "id", F.row_number().over(w).alias("k"), F.sum("v").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("t"), F.count("*").over(Window.partitionBy("key")).alias("n"), F.sum("v").over(Window.partitionBy("key")).alias("s"))
+    assert got == sorted(map(tuple, plain.collect()))
+    assert running(rows.limit(0), "key", "v", "v", "id").count() == 0
