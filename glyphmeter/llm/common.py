@@ -16,6 +16,7 @@ U64 = np.uint64
 
 def table(spark: SparkSession, sf_dir: str, name: str, *cols: str) -> DataFrame:
     """The named columns of a Parquet table; other columns, whatever their names, are never read."""
+    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*cols)
 
 
@@ -41,6 +42,17 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows of one Arrow batch at most: batches of texts stay within a few MB on both sides of the pipe.
+BATCH_ROWS = 2_000
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Lowers the session's rows of an Arrow batch to BATCH_ROWS where it allows more, as the default is meant for short rows."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def release() -> None:
     """Gives a worker's freed memory back to the system; workers are reused, so later stages would carry it along."""
     pa.default_memory_pool().release_unused()

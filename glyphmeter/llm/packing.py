@@ -18,7 +18,7 @@ from .common import release, stored
 SEQUENCE = 4096
 END_ID = 1
 #: Bytes of text that are tokenised at once.
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 4 << 20
 _NONE = np.int64(1 << 40)
 
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
