@@ -1,7 +1,9 @@
 """Secret scanner: fixed base patterns and an assignment-aware lexer with constant propagation.
 
-The lexer reads source and configuration syntax as name-literal pairs, follows names that stand for earlier literals
-and joins of them, and scores each literal by the words of the name it ends up in and by its own look.
+The lexer reads source and configuration syntax as name-literal pairs: assignments and joins of strings, entries of
+dictionaries and nested blocks, bare values of configuration lines, options of commands, XML elements and attributes,
+and what comments hold of these. It follows names that stand for earlier literals and scores each literal by the words
+of the name it ends up in, or of a block around it, and by its own look.
 """
 
 from __future__ import annotations
@@ -23,23 +25,38 @@ _ASSIGN_WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 _LEAST_ASSIGN = 6
 
 #: Words of a name and how much they speak for a secret; pairs of neighbouring words count too.
-_NAME_SCORES = {"password": 1.0, "passwd": 1.0, "passphrase": 1.0, "pwd": 0.9, "pass": 0.7, "secret": 1.0, "token": 0.9, "credential": 0.9, "credentials": 0.9, "apikey": 1.0, "auth": 0.6, "api key": 1.0, "access key": 1.0, "private key": 1.0, "signing key": 1.0, "encryption key": 1.0, "secret key": 1.0, "client secret": 1.0}
+_NAME_SCORES = {"password": 1.0, "passwd": 1.0, "passphrase": 1.0, "pwd": 0.9, "pass": 0.7, "secret": 1.0, "token": 0.9, "credential": 0.9, "credentials": 0.9, "cred": 0.8, "creds": 0.8, "apikey": 1.0, "auth": 0.6, "api key": 1.0, "access key": 1.0, "private key": 1.0, "signing key": 1.0, "encryption key": 1.0, "secret key": 1.0, "client secret": 1.0}
 #: Words that tell of something about a secret rather than of the secret.
 _NAME_AGAINST = {"count", "length", "len", "size", "max", "min", "limit", "field", "label", "name", "hint", "url", "uri", "path", "file", "type", "policy", "expiry", "expires", "ttl", "header", "prompt", "regex", "pattern", "id"}
 _STEMS = ("pass", "pwd", "secret", "token", "cred", "auth", "key")
 #: Least product of the name's and the literal's score.
 THRESHOLD = 0.4
 
-_STRING = r"\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|`(?:[^`\\]|\\.)*`"
+_STRING = r"\"{3}(?:[^\\]|\\.){0,4000}?\"{3}|'{3}(?:[^\\]|\\.){0,4000}?'{3}|\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|`(?:[^`\\]|\\.)*`"
 _NAME = r"[A-Za-z_$][\w$]*(?:[.\-][A-Za-z_$][\w$]*)*"
 _TERM = rf"(?:{_STRING}|{_NAME})"
-#: name [: type] (= | := | : | =>) expression of strings and names; the target may be quoted.
-_PAIR = re.compile(rf"(?<![\w$.\-])(?:[\"']({_NAME})[\"']|({_NAME}))[ \t]*(?::[ \t]*[A-Za-z_][\w.\[\]<>]*[ \t]*=|:=|=>|=(?!=)|:)[ \t]*({_TERM}(?:[ \t]*[+.]?[ \t]*(?:{_STRING})|[ \t]*\+[ \t]*{_NAME})*)")
+#: name [type] operator expression of strings and names. The target may be quoted or end in a quoted index.
+_PAIR = re.compile(
+    rf"(?<![\w$.\-])(?:[\"']({_NAME})[\"']|({_NAME}))(?:\[[\"']({_NAME})[\"']\])?[ \t]*(?::[ \t]*[A-Za-z_][\w.\[\]<>]*[ \t]*=|\+=|\.=|\|\|=|\?=|:=|=>|=(?!=)|:)[ \t]*(?:[rbuf](?=[\"']))?"
+    rf"({_TERM}(?:[ \t]*[+.&]?[ \t]*(?:{_STRING})|[ \t]*[+&][ \t]*{_NAME})*)"
+)
 #: A whole line of configuration: name = bare value.
-_LINE = re.compile(rf"(?m)^[ \t]*(?:export[ \t]+|set[ \t]+|-[ \t]+)?({_NAME})[ \t]*[:=][ \t]*([^\s\"'`#;,{{}}\[\]()]+)[ \t]*(?:[#;][^\n]*)?$")
+_LINE = re.compile(rf"(?m)^[ \t]*(?:export[ \t]+|set[ \t]+|setx[ \t]+|ENV[ \t]+|-[ \t]+)*({_NAME})[ \t]*(\+=|\?=|:=|[:=])[ \t]*([^\s\"'`#;,{{}}\[\]()<>]+)[ \t]*$")
+#: Options of a command: --name value or --name=value.
+_OPTION = re.compile(rf"(?<!\S)--({_NAME})(?:=|[ \t]+)(?:({_STRING})|([^\s\"'`;|&<>-][^\s\"'`;|&<>]*))")
+#: XML: an element's text, and attributes that name and give a value.
+_ELEMENT = re.compile(rf"<({_NAME})(?:[ \t]+(?:name|key|id)[ \t]*=[ \t]*[\"']({_NAME})[\"'])?[ \t]*>[ \t]*([^<>\s][^<>\n]{{0,1000}}?)[ \t]*</\1>")
+_ATTRIBUTES = re.compile(rf"\b(?:name|key|id)[ \t]*=[ \t]*[\"']({_NAME})[\"'][^<>\n]{{0,300}}?\bvalue[ \t]*=[ \t]*({_STRING})")
 _PART = re.compile(rf"({_STRING})|({_NAME})")
+#: Comments, and the strings in which their marks mean nothing.
+_COMMENT = re.compile(rf"({_STRING})|(?:(?<=\s)|^)(?:#|//|;)[^\n]*|/\*(?s:.){{0,20000}}?\*/|<!--(?s:.){{0,20000}}?-->", re.M)
+#: What opens and closes a nested block, with its name, and the heads of indented blocks.
+_BLOCK = re.compile(rf"({_STRING})(?![ \t]*[:=]?[ \t]*\{{)|(?:[\"']?({_NAME})[\"']?[ \t]*[:=]?[ \t]*)?([{{])|([}}])")
+_HEAD = re.compile(rf"(?m)^([ ]*)(?:-[ ]+)?[\"']?({_NAME})[\"']?:[ \t]*$")
 _WORDS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
-_PLACEHOLDER = re.compile(r"(?i)^(?:x+|\*+|\.+|changeme|change_me|none|null|true|false|undefined|example.*|your[_\- ].*|my[_\- ]?(?:password|secret|token)|todo|test|password|secret|token|redacted)$|[<>{}$%]|^\w+\(.*\)$|\s")
+_PLACEHOLDER = re.compile(r"(?i)^(?:x+|\*+|\.+|changeme|change_me|none|null|true|false|undefined|example.*|your[_\- ].*|my[_\- ]?(?:password|secret|token)|todo|test|password|secret|token|redacted)$|^\$\w+$|\$[{(]|\{\{|^\{[^{}]*\}$|<[^<>]*>|%\(|^%\w+%$|^\w+\(.*\)$|\s")
+#: Share of an enclosing block's score that its members have.
+INHERITED = 0.8
 
 
 def name_score(name: str) -> float:
@@ -51,6 +68,14 @@ def name_score(name: str) -> float:
     return max((_NAME_SCORES.get(w, 0.0) for w in words + pairs), default=0.0)
 
 
+def nested_score(name: str, around: tuple[str, ...]) -> float:
+    """name_score, or a share of that of a block around the name unless the name speaks against it."""
+    own, words = name_score(name), _WORDS.findall(name)
+    if own or words and words[-1].lower() in _NAME_AGAINST:
+        return own
+    return INHERITED * max((name_score(n) for n in around), default=0.0)
+
+
 def literal_score(value: str) -> float:
     """0 to 1: how much a literal looks like a secret; placeholders and text with spaces score 0."""
     if len(value) < 6 or _PLACEHOLDER.search(value):
@@ -60,25 +85,91 @@ def literal_score(value: str) -> float:
     return min(1.0, entropy / 4.0 + 0.15 * (kinds - 1))
 
 
-def lexed(text: str) -> list[tuple[int, int]]:
-    """Spans of literals that reach a sensitive name, directly, by a join of parts or through other names."""
-    pairs = []
-    for m in _PAIR.finditer(text):
-        terms = [("s", p.start(1) + 1, p.end(1) - 1) if p[1] else ("n", p.start(2), p.end(2)) for p in _PART.finditer(text, m.start(3), m.end(3))]
-        pairs.append((m.start(), m[1] or m[2], terms))
-    for m in _LINE.finditer(text):
-        if not (m[2][0].isalpha() and re.fullmatch(_NAME, m[2])):  # a bare name is a reference, read above
-            pairs.append((m.start(1), m[1], [("s", m.start(2), m.end(2))]))
-    pairs.sort(key=lambda p: p[0])
-    known: dict[str, tuple[tuple[int, int], ...]] = {}
-    found = set()
-    for _, name, terms in pairs:
-        spans: tuple[tuple[int, int], ...] = ()
+def _quoted(text: str, a: int, b: int) -> tuple[str, int, int]:
+    """A string's inside."""
+    marks = 3 if text[a : a + 3] in ('"""', "\'\'\'") and b - a >= 6 else 1
+    return "s", a + marks, b - marks
+
+
+def _pairs(view: str) -> list[tuple[int, str, str, list[tuple[str, int, int]]]]:
+    """(place, name, operator, terms) of every assignment; a term is a string (s), a name (n) or a bare value (b)."""
+    found = []
+    for m in _PAIR.finditer(view):
+        terms = [_quoted(view, *p.span(1)) if p[1] else ("n", *p.span(2)) for p in _PART.finditer(view, m.start(4), m.end(4))]
+        found.append((m.start(), m[3] or m[1] or m[2], "+=" if view[m.start() : m.start(4)].rstrip().endswith(("+=", ".=")) else "=", terms))
+    if "\n" in view or "=" in view or ":" in view:
+        for m in _LINE.finditer(view):
+            found.append((m.start(1), m[1], m[2], [("b", *m.span(3))]))
+    if "--" in view:
+        for m in _OPTION.finditer(view):
+            found.append((m.start(), m[1], "=", [_quoted(view, *m.span(2)) if m[2] else ("b", *m.span(3))]))
+    if "<" in view:
+        found += [(m.start(), m[2] or m[1], "=", [("s", *m.span(3))]) for m in _ELEMENT.finditer(view)]
+        found += [(m.start(), m[1], "=", [_quoted(view, *m.span(2))]) for m in _ATTRIBUTES.finditer(view)]
+    return sorted(found, key=lambda x: (x[0], x[3][-1][2]))
+
+
+def _blocks(view: str) -> list[tuple[int, int, str]]:
+    """(start, end, name) of the named blocks in braces and of those by indentation."""
+    found, open_ = [], []
+    if "{" in view:
+        for m in _BLOCK.finditer(view):
+            if m[3]:
+                open_.append((m.start(3), m[2] or ""))
+            elif m[4] and open_:
+                start, name = open_.pop()
+                found.append((start, m.end(), name))
+        found += [(start, len(view), name) for start, name in open_]
+    for m in _HEAD.finditer(view):
+        depth, end = len(m[1]), m.end()
+        while (line := re.compile(r"\n([ ]*)(?:([^\s])[^\n]*)?").match(view, end)) and (line[2] is None or len(line[1]) > depth or len(line[1]) == depth and line[2] == "-"):
+            end = line.end()
+        found.append((m.end(), end, m[2]))
+    return [b for b in found if b[2]]
+
+
+def _secrets(view: str) -> set[tuple[int, int]]:
+    """Spans of literals of one view that reach a sensitive name, directly, by a join of parts or through other names."""
+    blocks, inside, known, found = None, [], {}, set()
+    for at, name, operator, terms in _pairs(view):
+        spans: tuple[tuple[int, int], ...] = known.get(name, ()) if operator == "+=" else ()
         for kind, a, b in terms:
-            spans += ((a, b),) if kind == "s" else known.get(text[a:b], ())
-        known[name] = spans = tuple(dict.fromkeys(spans))
-        if spans and (score := name_score(name)) and score * literal_score("".join(text[a:b] for a, b in spans)) >= THRESHOLD:
-            found.update(s for s in spans if s[1] > s[0])
+            value = view[a:b]
+            refers = value in known or value[:1] == "$" or name_score(value) >= 0.5 and re.fullmatch(_NAME, value)
+            if kind == "s" or kind == "b" and not refers:
+                spans += ((a, b),)
+            else:  # a name stands for what it was given; one that is unknown, for nothing
+                spans += known.get(value, known.get(value.lstrip("$"), ()))
+        spans = tuple(dict.fromkeys(spans))
+        # a line that is read both as a pair of names and as a bare value is what either finds
+        known[name] = spans or known.get(name, ()) if terms[0][0] == "b" else spans
+        if spans:
+            look = literal_score("".join(view[a:b] for a, b in spans))
+            if look:
+                if blocks is None:
+                    blocks = sorted(_blocks(view), reverse=True)
+                # pairs come in the order of the text, so each block is opened and closed once
+                while blocks and blocks[-1][0] <= at:
+                    inside.append(blocks.pop())
+                inside = [b for b in inside if at < b[1]]
+                if nested_score(name, tuple(b[2] for b in inside)) * look >= THRESHOLD:
+                    found.update(s for s in spans if s[1] > s[0])
+    return found
+
+
+def lexed(text: str) -> list[tuple[int, int]]:
+    """Spans of literals that a sensitive name is given, in code and, apart from it, in comments.
+
+    What a comment assigns is judged like the rest, but the code does not see it as a constant, nor one comment another's.
+    """
+    comments = [m.span() for m in _COMMENT.finditer(text) if not m[1]]
+    code, at = [], 0
+    for a, b in comments:
+        code += [text[at:a], " " * (b - a)]
+        at = b
+    found = _secrets("".join([*code, text[at:]]))
+    for a, b in comments:
+        found.update((x + a + 1, y + a + 1) for x, y in _secrets(text[a + 1 : b]))
     return sorted(found)
 
 
@@ -125,7 +216,10 @@ def scan(docs: DataFrame) -> DataFrame:
 
 
 def redact_documents(docs: DataFrame) -> DataFrame:
-    """The rows of docs, with all their columns, each secret in their text replaced by its kind in brackets."""
+    """The rows of docs, with all their columns, each secret in their text replaced by its kind in brackets.
+
+    Null and empty texts stay as they are, repeated rows come back repeated, and an empty table gives an empty one.
+    """
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -32,6 +32,55 @@ def test_lexer_follows_constants_and_scores_names():
     assert secrets.literal_score("changeme") == 0
 
 
+SAMPLES = {
+    "env": ("DB_PWD=s3cretAbC99xyz\nexport CLIENT_CRED=zz9-plural-Z\n# OLD_PWD=commented9Xyz\nPORT=123456\n", ["s3cretAbC99xyz", "zz9-plural-Z", "commented9Xyz"]),
+    "yaml": ("db:\n  pwd: hunter2abc9X\n  name: abcdef99\ncredentials:\n  prod: \"k8Fj29sLq\"\n  url: \"http://abc/def9\"\nother:\n  prod: \"k8Fj29sLr\"\n", ["hunter2abc9X", "k8Fj29sLq"]),
+    "ini": ("[main]\nclient_credential = correcthorsebattery9\n; auth = other9Xyz12\nport = 5432\n", ["correcthorsebattery9", "other9Xyz12"]),
+    "json": ('{"credentials": {"db": "p4ssW0rdXy", "type": "basic99xx"}, "auth_hash": "Zx9Kq2Lm", "n": "Zx9Kq2Ln"}', ["p4ssW0rdXy", "Zx9Kq2Lm"]),
+    "shell": ('mysql --pwd hunter2abc9X --host db1\nPW="abc"\nPW+="123xyz!"\nDB_PWD=$PW\nAUTH=$UNKNOWN\n', ["hunter2abc9X", "abc", "123xyz!"]),
+    "python": ('A = "ab12cd34"\nB = A\nclient_credential = B + "zz99"\ncfg["passphrase"] = """tripleQ9uoted"""\npwd = get_pwd()\nauth = user_auth_value\npwd: str = "typed9Value"\n', ["ab12cd34", "zz99", "tripleQ9uoted", "typed9Value"]),
+    "xml": ('<add key="ClientPwd" value="xmL9attrib"/><passphrase>xmL9elem3nt</passphrase><string name="pwd">an9droidXX</string><a>xmL9elem3nx</a>', ["xmL9attrib", "xmL9elem3nt", "an9droidXX"]),
+    "javascript": ('const pwd = "js9String!"; // pwd = "inComment9X"\nlet o = { auth: `tmplX9yz1`, n: 1 };\n', ["js9String!", "inComment9X", "tmplX9yz1"]),
+    "prose": ("The author: he passed the key to me. Note: passage one.\nAuth: see below\n", []),
+}
+
+
+def test_lexer_reads_the_syntax_of_each_language():
+    for name, (text, wanted) in SAMPLES.items():
+        assert [text[a:b] for k, a, b in secrets.find_spans(text) if k == "lexed"] == wanted, name
+
+
+def test_comments_are_scopes_of_their_own():
+    text = '# SALT = "ab12cd34"\nclient_pwd = SALT\n# PEPPER = "ee55ff66"\n# old_pwd = PEPPER\n'
+    assert [k for k, *_ in secrets.find_spans(text)] == []
+
+
+def plain_spans(text):
+    """The base kinds, with case-insensitive matching by hand."""
+    found = []
+    for m in re.finditer(r"""(?ai)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text):
+        if len(m[2]) >= 6:
+            found.append((m.start(), 0, "assign", m.end()))
+    found += [(m.start(), 1, "access", m.end()) for m in re.finditer(r"AKIA[A-Z0-9]+", text) if m.end() - m.start() >= 20]
+    found += [(m.start(), 2, "hex", m.end()) for m in re.finditer(r"[0-9a-f]+", text) if m.end() - m.start() >= 24]
+    return ",".join(f"{k}:{a}:{b}" for a, _, k, b in sorted(found))
+
+
+def test_scan_query_equals_a_plain_version(spark):
+    from glyphmeter.llm.queries import QUERIES
+
+    folder = "/root/testdata/sf0.01"
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{folder}/documents.parquet").collect()}
+    rows = QUERIES["op1_secret_scan"](spark, folder).collect()
+    assert {r.doc_id for r in rows} == set(texts)
+    for r in rows:
+        base = plain_spans(texts[r.doc_id])
+        assert r.base_sha256 == hashlib.sha256(base.encode()).hexdigest()
+        kinds = [s.split(":")[0] for s in base.split(",") if s]
+        assert (r.n_assign, r.n_access, r.n_hex) == tuple(kinds.count(k) for k in ("assign", "access", "hex"))
+        assert set(base.split(",")) <= set(r.spans.split(",")) and all(s.startswith("lexed:") for s in set(r.spans.split(",")) - set(base.split(",")))
+
+
 def test_secret_scan_edges(spark):
     long = "word " * 200_000 + "token=abcdef99"
     rows = [(1, None, "k", "s"), (2, "", "k", "s"), (3, long, "k", "s"), (3, long, "k", "s"), (None, "x", None, None)]
@@ -47,7 +96,7 @@ def test_chat_round_trip(spark):
     rng = random.Random(5)
     bits = ["<s>", "</s>", "[INST]", "[/INST]", "<~s>", "<~~/s>", "<<SYS>>", "<|im_end|>", "<|im_start|>", "<", "[", "~", "\n", " ok", "é", "$1", "\\", "user"]
     rows = [(c, t, role, "".join(rng.choices(bits, k=rng.randrange(9))) or None, "x") for c in range(40) for t, role in enumerate(["system", "user", "assistant", "user", "assistant"][: rng.randrange(1, 6)])]
-    rows += [(99, 0, None, "a", "x"), (99, None, "tool", None, "x"), (None, 0, "user", "q", "x"), (98, 0, "user", "same", "x"), (98, 0, "user", "same", "x")]
+    rows += [(99, 0, None, "a", "x"), (99, None, "tool", None, "x"), (None, 0, "user", "q", "x"), (98, 0, "user", "same", "x"), (98, 0, "user", "same", "x"), (97, 0, "a\n<~n><n>", "<n>\n", "x"), (97, 1, "<|im_end|>", "long </s>" * 40_000, "x")]
     frame = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string, formatted string")
     formatted = chat.format_conversations(frame)
     back = {r.conv_id: r for r in chat.read_back(formatted).collect()}
@@ -93,7 +142,7 @@ def test_normaliser_takes_apart_streams_of_several_members():
     assert [gzip.decompress(b"".join(m)) for m in warc.members(memoryview(stream))] == records
 
 
-def test_url_rules_against_plain(spark):
+def test_url_rules_against_plain(spark, monkeypatch):
     rules = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("a.net", "/es", "allow")]
     hosts = ["example.com", "www.Example.com", "x.www.example.com", "notexample.com", "a.net", "b.a.net", "net", "org", "", "com"]
     paths = ["", "/", "/en", "/en/", "/en/1", "/es/x", "/es?q=/en/", "/EN/", "/es#f"]
@@ -110,5 +159,8 @@ def test_url_rules_against_plain(spark):
 
     assert sorted(map(str, map(tuple, got.collect()))) == sorted(str((i // 2, *plain(u))) for i, u in enumerate(urls))
     assert url_filter.judge_urls(pages.limit(0), spark.createDataFrame(rules, "host string, path string, verdict string")).count() == 0
+    monkeypatch.setattr(url_filter, "MAX_BROADCAST_BYTES", 0)
+    shuffled = url_filter.judge_urls(pages, spark.createDataFrame(rules, "host string, path string, verdict string"))
+    assert sorted(map(str, map(tuple, shuffled.collect()))) == sorted(map(str, map(tuple, got.collect())))
     none = url_filter.judge_urls(pages, spark.createDataFrame([], "host string, path string, verdict string"))
     assert none.where(F.col("rule").isNull() & (F.col("verdict") == "allow")).count() == len(urls)
