@@ -8,6 +8,7 @@ Readers then inflate single members at the offsets of the index.
 from __future__ import annotations
 
 import hashlib
+import io
 import json
 import re
 import uuid
@@ -23,7 +24,8 @@ from .common import shared_dir
 
 #: Payloads from this many bytes on may be revisits of an equal one.
 LEAST_REVISIT_BYTES = 100
-#: Records of one archive, and distinct repeated payloads that are sent to every executor; more are joined by a shuffle.
+#: Records of one archive, which is read as a stream whatever its bytes, and distinct repeated payloads that are sent to
+#: every executor; more are joined by a shuffle.
 MAX_RECORDS_PER_FILE = 20_000
 MAX_BROADCAST_PAYLOADS = 200_000
 CHUNK = 1 << 20
@@ -39,7 +41,7 @@ def records(pages: DataFrame, date: str = "2024-01-01T00:00:00Z") -> DataFrame:
     the others are revisits that name it and hold no payload. Payloads whose page_ids are all null are responses.
     """
     full = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html")).withColumns({"digest": F.sha2("html", 256), "n": F.octet_length("html")})
-    repeated = full.where(F.col("n") >= LEAST_REVISIT_BYTES).groupBy("digest").agg(F.min("page_id").alias("first_id"), F.count(F.lit(1)).alias("times")).where("times > 1").select("digest", "first_id").persist()
+    repeated = full.where(F.col("n") >= LEAST_REVISIT_BYTES).groupBy("digest").agg(F.min("page_id").alias("first_id"), F.count(F.lit(1)).alias("times")).where("times > 1").select("digest", "first_id").checkpoint()
     small = repeated.limit(MAX_BROADCAST_PAYLOADS + 1).count() <= MAX_BROADCAST_PAYLOADS
     typed = full.join(F.broadcast(repeated) if small else repeated, "digest", "left")
     revisit = F.col("first_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first_id"))
@@ -68,23 +70,19 @@ def write_streams(df: DataFrame, path: str) -> None:
 class _Stream:
     """Reads a gzip stream of one or more members front to back, holding little more than a chunk of it."""
 
-    def __init__(self, data: memoryview):
-        self.data, self.at, self.held, self.inflate = data, 0, bytearray(), zlib.decompressobj(31)
+    def __init__(self, source):
+        self.source, self.rest, self.held, self.inflate = source, b"", bytearray(), zlib.decompressobj(31)
 
     def more(self) -> bool:
         while True:
             if self.inflate.eof:
-                rest = self.inflate.unused_data
-                if not rest and self.at >= len(self.data):
+                self.rest = self.inflate.unused_data or self.source.read(CHUNK)
+                if not self.rest:
                     return False
-                self.at -= len(rest)
                 self.inflate = zlib.decompressobj(31)
-            tail = self.inflate.unconsumed_tail
-            if not tail and self.at >= len(self.data):
+            given, self.rest = self.inflate.unconsumed_tail or self.rest or self.source.read(CHUNK), b""
+            if not given:
                 return False
-            given = tail or self.data[self.at : self.at + CHUNK]
-            if not tail:
-                self.at += len(given)
             if out := self.inflate.decompress(given, CHUNK):
                 self.held += out
                 return True
@@ -111,9 +109,9 @@ class _Stream:
             yield part
 
 
-def members(stream: memoryview) -> Iterator[Iterable[bytes]]:
-    """For each record of a whole-file gzip stream, the parts of its own gzip member."""
-    source = _Stream(stream)
+def members(stream) -> Iterator[Iterable[bytes]]:
+    """For each record of a whole-file gzip stream (an open file or bytes), the parts of its own gzip member."""
+    source = _Stream(stream if hasattr(stream, "read") else io.BytesIO(stream))
     while (head := source.until(b"\r\n\r\n")) is not None:
         length = int(re.search(rb"(?im)^Content-Length:[ ]*([0-9]+)", head)[1])
 
@@ -128,7 +126,7 @@ def members(stream: memoryview) -> Iterator[Iterable[bytes]]:
 
 
 def normalise(streams: DataFrame, out: str) -> DataFrame:
-    """Rewrite every whole-file stream of a binaryFile table under out; archive, records and bytes of each.
+    """Rewrite every whole-file stream (path) under out; archive, records and bytes of each. A stream is read in chunks.
 
     An archive and its index get their names by a move once they are complete, so a repeated task does no harm.
     """
@@ -138,12 +136,13 @@ def normalise(streams: DataFrame, out: str) -> DataFrame:
         fs, base = pafs.FileSystem.from_uri(out)
         fs.create_dir(base, recursive=True)
         for batch in batches:
-            for source, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            for source in batch.column(0).to_pylist():
                 name = hashlib.sha256(source.encode()).hexdigest()[:32]
                 draft = f"{base}/.{name}-{uuid.uuid4().hex}"
                 at, count = 0, 0
-                with fs.open_output_stream(f"{draft}.warc") as archive, fs.open_output_stream(f"{draft}.idx") as index:
-                    for member in members(memoryview(content.as_buffer())):
+                own, path = pafs.FileSystem.from_uri(source if "://" in source else "file://" + source.removeprefix("file:"))
+                with own.open_input_stream(path, compression=None) as stream, fs.open_output_stream(f"{draft}.warc") as archive, fs.open_output_stream(f"{draft}.idx") as index:
+                    for member in members(stream):
                         start = at
                         for part in member:
                             archive.write(part)
@@ -154,7 +153,7 @@ def normalise(streams: DataFrame, out: str) -> DataFrame:
                 fs.move(f"{draft}.warc", f"{base}/{name}.warc.gz")
                 yield pa.RecordBatch.from_pylist([{"archive": f"{name}.warc.gz", "records": count, "bytes": at}], schema=schema)
 
-    return streams.select("path", "content").mapInArrow(run, "archive string, records bigint, bytes bigint")
+    return streams.select("path").mapInArrow(run, "archive string, records bigint, bytes bigint")
 
 
 def parse_member(member: bytes) -> dict:
