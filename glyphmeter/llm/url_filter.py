@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 
 #: Hex digits of a digest that the join uses as its key.
 PREFIX_DIGITS = 8
-#: Rules up to this many are sent to every executor; more are joined by a shuffle.
-MAX_BROADCAST_RULES = 100_000
+#: Bytes of rules that are sent to every executor at most; more are joined by a shuffle, dealt over so many salts.
+MAX_BROADCAST_BYTES = 16 << 20
+SALTS = 32
 
 
 def host_of(url: Column) -> Column:
@@ -33,22 +34,22 @@ def rule_key(host: Column, path: Column) -> Column:
 def judge_urls(pages: DataFrame, rules: DataFrame, default: str = "allow") -> DataFrame:
     """page_id, host, path, rule and verdict for every row of pages (page_id, url).
 
-    rules has host, path and verdict. A rule fits its host and all subdomains where the URL's path starts with the
-    rule's path. Of several, the longest host and path together wins, then the longer host, then block before allow.
-    Null and malformed URLs have empty host and path and get the default verdict with a null rule, as do URLs without
-    a rule. Repeated rows give repeated results; an empty table gives an empty result.
+    rules has host, path and verdict (block, or anything else for allow). A rule fits its host and all subdomains where
+    the URL's path starts with the rule's path. Of several, the longest host and path together wins, then the longer
+    host, then block before allow. Null and malformed URLs have empty host and path and get the default verdict with a
+    null rule, as do URLs without a rule. Repeated rows give repeated results; an empty table gives an empty result.
+
+    The rules that fit one URL differ in the lengths of host and path, so these, with the verdict, are all that is kept
+    of a match: one number, whose maximum is the winner.
     """
-    rules = rules.select("host", "path", "verdict").dropDuplicates(["host", "path", "verdict"])
+    rules = rules.select("host", "path", (F.col("verdict") == "block").cast("bigint").alias("blocks")).groupBy("host", "path").agg(F.max("blocks").alias("blocks"))
     lengths = [r[0] for r in rules.select(F.length("path").alias("n")).distinct().orderBy("n").collect()]  # bounded by the longest path
-    small = rules.limit(MAX_BROADCAST_RULES + 1).count() <= MAX_BROADCAST_RULES
 
     digest = rule_key(F.col("host"), F.col("path"))
-    rules = rules.select(
-        F.left(digest, F.lit(PREFIX_DIGITS)).alias("short"), digest.alias("rule_digest"), F.concat("host", "path").alias("rule"),
-        F.struct((F.length("host") + F.length("path")).alias("both"), F.length("host").alias("host_length"), (F.col("verdict") == "block").alias("blocks")).alias("rank"), "verdict",
-    )
-    # equal URLs of a page are judged once and counted, so repeated rows come back whole
-    urls = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path")).groupBy("page_id", "host", "path").agg(F.count(F.lit(1)).alias("copies"))
+    host_length, both = F.length("host").cast("bigint"), (F.length("host") + F.length("path")).cast("bigint")
+    rules = rules.select(F.left(digest, F.lit(PREFIX_DIGITS)).alias("short"), digest.alias("rule_digest"), (F.shiftleft(both, 24) + F.shiftleft(host_length, 1) + F.col("blocks")).alias("rank"))
+    size = rules.agg(F.count(F.lit(1))).first()[0] * 160
+    urls = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), F.monotonically_increasing_id().alias("row"))
 
     labels = F.split("host", r"\.")
     suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
@@ -56,11 +57,14 @@ def judge_urls(pages: DataFrame, rules: DataFrame, default: str = "allow") -> Da
     pairs = F.flatten(F.transform(suffixes, lambda s: F.transform(prefixes, lambda p: rule_key(s, p))))
     asked = urls.withColumn("digest", F.explode_outer(pairs)).withColumn("short", F.left("digest", F.lit(PREFIX_DIGITS)))
 
-    found = asked.join(F.broadcast(rules) if small else rules, "short", "left")
-    sure = F.col("digest") == F.col("rule_digest")
-    best = F.max(F.when(sure, F.struct("rank", "rule", "verdict"))).alias("best")
-    judged = found.groupBy("page_id", "host", "path").agg(F.first("copies").alias("copies"), best)
-    return judged.select(
-        "page_id", "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"),
-        F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("copies"))).alias("copy"),
-    ).drop("copy")
+    if size <= MAX_BROADCAST_BYTES:
+        found = asked.join(F.broadcast(rules), "short", "left")
+    else:  # very many URLs may ask for one key, such as that of a whole top-level domain
+        salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+        found = asked.withColumn("salt", F.pmod("row", F.lit(SALTS)).cast("int")).join(rules.withColumn("salt", salts), ["short", "salt"], "left")
+    best = F.max(F.when(F.col("digest") == F.col("rule_digest"), F.col("rank"))).alias("best")
+    judged = found.groupBy("row", "page_id", "host", "path").agg(best)
+    own = F.shiftright(F.col("best"), 1).bitwiseAND((1 << 23) - 1).cast("int")
+    rule = F.concat(F.right("host", own), F.left("path", F.shiftright(F.col("best"), 24).cast("int") - own))
+    verdict = F.when(F.col("best").isNull(), default).when(F.col("best") % 2 == 1, "block").otherwise("allow")
+    return judged.select("page_id", "host", "path", F.when(F.col("best").isNotNull(), rule).alias("rule"), verdict.alias("verdict"))
