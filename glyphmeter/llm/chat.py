@@ -52,7 +52,7 @@ def format_conversations(rows: DataFrame, template: Template = Template()) -> Da
     parts = turns.withColumn(
         "parts",
         F.transform("turns", lambda t: F.struct(
-            F.concat(F.lit(template.head), F.replace(escaped(t.role), F.lit("\n"), F.lit("<~n>")), F.lit(template.after_role)).alias("head"),
+            F.concat(F.lit(template.head), F.replace(F.regexp_replace(escaped(t.role), "<(~*)n>", "<~$1n>"), F.lit("\n"), F.lit("<n>")), F.lit(template.after_role)).alias("head"),
             escaped(t.text).alias("body"), t.role.isin(*template.loss_roles).alias("loss"), t.role.alias("role"))),
     )
     zero = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:bigint,end:bigint,loss:boolean>>").alias("segments"))
@@ -85,7 +85,7 @@ def read_back(formatted: DataFrame, template: Template = Template()) -> DataFram
     def turn(piece: Column) -> Column:
         inner = F.substr(piece, F.lit(len(template.head) + 1))
         cut = F.instr(inner, template.after_role)
-        role = F.replace(F.left(inner, cut - 1), F.lit("<~n>"), F.lit("\n"))
+        role = F.regexp_replace(F.replace(F.left(inner, cut - 1), F.lit("<n>"), F.lit("\n")), "<~(~*)n>", "<$1n>")
         return F.struct(unescaped(role).alias("role"), unescaped(F.substr(inner, cut + len(template.after_role))).alias("text"))
 
     return formatted.select(

@@ -47,7 +47,7 @@ SELECT conv_id, count(*) AS n_turns,
        sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
        CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
        sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
-       CAST(sum(12 + length(replace(regexp_replace(role, '{_CONTROL}', '\1~\2\3', 'g'), chr(10), '<~n>')) + 1
+       CAST(sum(12 + length(replace(regexp_replace(regexp_replace(role, '{_CONTROL}', '\1~\2\3', 'g'), '<(~*)n>', '<~\1n>', 'g'), chr(10), '<n>')) + 1
                 + length(regexp_replace(text, '{_CONTROL}', '\1~\2\3', 'g')) + 11) AS BIGINT) AS formatted_chars,
        bool_and(CASE role WHEN 'system' THEN before = '' WHEN 'user' THEN before IN ('', 'system', 'assistant')
                 WHEN 'assistant' THEN before = 'user' ELSE false END) AND bool_or(from_end = 1 AND role = 'assistant') AS valid

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from glyphmeter.llm import decontaminate, hamming, jaccard_join, language, packing, toxicity
+from glyphmeter.llm import common, decontaminate, hamming, jaccard_join, language, packing, toxicity
 from glyphmeter.llm.components import connected_components
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
@@ -206,7 +206,7 @@ def test_every_language_is_learned(spark):
 def plain_features(text):
     """The hashed features of a text, by integers alone."""
     words = [w.encode() for w in re.findall(r"[a-z0-9\u0080-\U0010ffff]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))]
-    full, mask = 1 << 64, (1 << 64) - 1
+    mask = (1 << 64) - 1
 
     def mix(x):
         x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 & mask
@@ -214,7 +214,10 @@ def plain_features(text):
         return x ^ x >> 31
 
     def word(w):
-        return mix(sum((b + 1) * pow(0x9E3779B97F4A7C15, k, full) for k, b in enumerate(w)) & mask ^ len(w) << 56)
+        total, power = 0, 1
+        for b in w:
+            total, power = total + (b + 1) * power & mask, power * 0x9E3779B97F4A7C15 & mask
+        return mix((total ^ len(w) << 56) & mask)
 
     hashes, tags = [word(w) for w in words], [int(t) for t in toxicity._TAGS]
     out = hashes + [mix(word(w[: toxicity.STEM]) ^ tags[0]) for w in words]
@@ -294,6 +297,33 @@ def test_decontamination_equals_brute_force(spark):
     assert decontaminate.find_items(docs, tests.limit(0)).count() == 0 and decontaminate.drop_contaminated(docs.limit(0), tests).count() == 0
 
 
+def test_very_long_texts(spark):
+    """Texts beyond the bytes hashed at once and the shingles searched at once; items lie across the seams."""
+    rng = random.Random(21)
+    words = [f"w{rng.randrange(10**6)}" for _ in range(110_000)]
+    assert len(" ".join(words)) > common.SLICE_BYTES and len(words) > 3 * decontaminate.SEGMENT
+    items = [(k, " ".join(words[at - 20 : at + 21])) for k, at in enumerate((20, decontaminate.SEGMENT, decontaminate.SEGMENT + 3, 2 * decontaminate.SEGMENT - 7, 70_000, len(words) - 21))] + [(99, prose(rng, 40))]
+    near = list(words)
+    for k in range(0, len(near), 60):
+        near[k] = "other"
+    rows = [(1, " ".join(words)), (2, " ".join(near)), (3, " ".join(words[::-1])), (4, "x" * 900_000), (5, "x" * 900_000 + " y")]
+    docs, tests = spark.createDataFrame(rows, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")
+    sets = {d: sets_of(t) for d, t in rows}
+    wanted = {(d, i) for d in sets for i, t in items if 100 * len(sets[d] & sets_of(t)) >= 75 * len(sets_of(t))}
+    assert {(1, i) for i in range(6)} <= wanted
+    assert {(r.doc_id, r.item_id) for r in decontaminate.find_items(docs, tests).collect()} == wanted
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.similar_components(docs).collect()}
+    assert 100 * len(sets[1] & sets[2]) >= 75 * len(sets[1] | sets[2])
+    assert got == {1: (len(sets[1]), 1), 2: (len(sets[2]), 1), 3: (len(sets[3]), 3), 4: (1, 4), 5: (1, 5)}
+    labelled = spark.createDataFrame([(k, f"good text {k}" if k % 2 else f"vile text {k}", (k + 1) % 2) for k in range(40)], "doc_id bigint, text string, toxic int")
+    weights = toxicity.fit(labelled)
+    scores = {r.doc_id: r.score for r in toxicity.score(docs.union(spark.createDataFrame([(6, "vile " + " ".join(words))], docs.schema)), weights).collect()}
+    for d, text in [*rows, (6, "vile " + " ".join(words))]:
+        if d != 3:
+            total = sum(float(weights[k]) for k in plain_features(text)) + float(weights[-1])
+            assert scores[d] == pytest.approx(1 / (1 + np.exp(-total)), abs=1e-4)
+
+
 def test_items_in_several_blocks(spark, monkeypatch):
     monkeypatch.setattr(decontaminate, "BLOCK_ITEMS", 3)
     docs = spark.createDataFrame([(i, f"start a{i} b{i} c{i} d{i} e{i} f{i} end") for i in range(10)], "doc_id bigint, text string")
