@@ -81,3 +81,11 @@ def hallucination_report(rows: DataFrame) -> DataFrame:
     """By engine: means, the smallest anchor, the share of flagged documents and all blocks."""
     mean: list[Column] = [F.avg(c).alias(c) for c in ("net_insertion", "anchor", "length_ratio")]
     return rows.groupBy("engine").agg(*mean, F.min("anchor").alias("min_anchor"), F.avg(F.col("flagged").cast("int")).alias("flagged"), F.sum("blocks").alias("blocks"), F.count(F.lit(1)).alias("documents"))
+
+
+def comparison(counts: DataFrame, a: str, b: str) -> DataFrame:
+    """class, level, n_a, n_b, share_a, share_b, delta of two engines' classes (engine, class, n); a class that one lacks counts 0."""
+    side = lambda e, x: counts.where(F.col("engine") == e).select("class", F.col("n").alias(f"n_{x}"), (F.col("n") / F.sum("n").over(Window.partitionBy("engine"))).alias(f"share_{x}"))
+    both = side(a, "a").join(side(b, "b"), "class", "full_outer").na.fill(0)
+    level = F.create_map(*[F.lit(x) for kv in RECOVERABILITY.items() for x in kv])
+    return both.select("class", F.coalesce(F.try_element_at(level, F.col("class")), F.lit("partial")).alias("level"), "n_a", "n_b", "share_a", "share_b", (F.col("share_b") - F.col("share_a")).alias("delta"))

@@ -75,3 +75,9 @@ def correlation(rows: DataFrame, *names: str) -> DataFrame:
             flat = (F.coalesce(F.stddev_pop(a), F.lit(0.0)) == 0) | (F.coalesce(F.stddev_pop(b), F.lit(0.0)) == 0)
             aggs.append(F.struct(F.lit(x).alias("x"), F.lit(y).alias("y"), F.when(flat, 0.0).otherwise(F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))).alias("r")))
     return rows.agg(F.array(*aggs).alias("all")).select(F.explode("all").alias("c")).select("c.x", "c.y", "c.r")
+
+
+def robustness(curves: DataFrame, critical: float) -> DataFrame:
+    """engine, mean_cer over all levels (engine, level, cer), the first level above critical, and position by mean."""
+    rows = curves.groupBy("engine").agg(F.avg("cer").alias("mean_cer"), F.min(F.when(F.col("cer") > critical, F.col("level"))).alias("critical_level"))
+    return rows.withColumn("position", F.row_number().over(Window.orderBy("mean_cer", "engine")))
