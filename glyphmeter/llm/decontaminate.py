@@ -22,7 +22,9 @@ from .common import U64, mix64, release, shingle_hashes
 WIDTH = 5
 #: Least share of an item's shingles, as a percentage.
 PERCENT = 75
-#: MinHash functions, each a band of its own: at a containment of 0.75 an item is missed with a chance of 3e-5 at most.
+#: MinHash functions, each a band of its own. An item whose shared shingles lie in one window is missed with a chance of
+#: 3e-5 at most at a containment of 0.75. Where they lie apart each window shares fewer of them and there is no such bound;
+#: of 1,200 items of 30 to 200 words cut into up to eight parts, 300 words apart, none was missed (a simulation).
 HASHES = 40
 #: Items of one block, and the bytes of their texts; a block is broadcast, and each block is a pass over the documents.
 BLOCK_ITEMS = 20_000
@@ -115,7 +117,7 @@ def find_items(docs: DataFrame, items: DataFrame, percent: int = PERCENT) -> Dat
     """Pairs of a document (doc_id, text) and a test item (item_id, text) whose shingles it holds to percent or more.
 
     Whole texts are searched; words are split and lower-cased as in common.word_hashes. The containment is the share
-    of the item's distinct shingles that the whole document has. Null and empty texts and items match nothing. Every
+    of the item's distinct shingles that the whole document has, counted exactly over their 64-bit hashes. Null and empty texts and items match nothing. Every
     row counts for itself, so repeated documents or items give repeated pairs; empty tables give no pairs.
     Items come to the driver in blocks of a bounded size; documents are read once for each block and never shuffled.
     """
