@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import checkpointed
+
 
 def running(rows: DataFrame, key: str, value: str, *order: Column | str) -> DataFrame:
     """rows with k (place from 1 within the key, in the order given), total (sum of value so far), n and whole (of the key).
@@ -12,7 +14,7 @@ def running(rows: DataFrame, key: str, value: str, *order: Column | str) -> Data
     Rows are dealt to ranges of (key, order); places and sums are made within a range and moved by what the ranges
     before it hold, which is one row for each. The ranges are checkpointed, as places must not change on a second run.
     """
-    placed = rows.repartitionByRange(key, *order).withColumn("_range", F.spark_partition_id()).checkpoint()
+    placed = checkpointed(rows.repartitionByRange(key, *order).withColumn("_range", F.spark_partition_id()))
     within = Window.partitionBy(key, "_range").orderBy(*order)
     local = placed.withColumns({"k": F.row_number().over(within), "total": F.sum(value).over(within.rowsBetween(Window.unboundedPreceding, 0))})
     sizes = placed.groupBy(key, "_range").agg(F.count(F.lit(1)).alias("_n"), F.sum(value).alias("_s"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .shared import checkpointed
+
 # The tables of a run's folder.
 TABLES = ("pipeline_results", "view_results", "artifacts_index")
 
@@ -77,7 +79,7 @@ def store_artifacts(payloads: DataFrame, folder: str, *columns: str, stored: Dat
 
     stored (key) is what the folder has already: it is not written again, so a step that is repeated adds nothing.
     """
-    keyed = payloads.withColumn("key", content_key(*[F.col(c) for c in columns])).checkpoint()
+    keyed = checkpointed(payloads.withColumn("key", content_key(*[F.col(c) for c in columns])))
     new = keyed.select("key", *columns).dropDuplicates(["key"])
     if stored is not None:
         new = new.join(stored.select("key"), "key", "left_anti")

@@ -5,15 +5,26 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
-def fresh_folder(spark: SparkSession, name: str) -> str:
-    """A new path under spark.checkpoint.dir; where that is unset, a local session has a temporary folder of its own."""
+def shared_root(spark: SparkSession) -> str:
+    """spark.checkpoint.dir; where that is unset, a local session has a temporary folder of its own, set as its checkpoint folder."""
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
         if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         root = "file://" + tempfile.mkdtemp(prefix="glyphmeter-")
         spark.sparkContext.setCheckpointDir(root)
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return root.rstrip("/")
+
+
+def fresh_folder(spark: SparkSession, name: str) -> str:
+    """A new path under shared_root."""
+    return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df, written to the shared folder and read back: its rows stay as they are, whatever executors are lost."""
+    shared_root(df.sparkSession)
+    return df.checkpoint()
