@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import shared_dir
+
 #: Links that one task handles; a graph with few is not dealt to all partitions of a shuffle, whose files would be empty.
 TASK_LINKS = 50_000
 
@@ -15,6 +17,7 @@ def connected_components(links: DataFrame) -> DataFrame:
     Each round points the larger neighbours of every node, then the smaller ones, at the smallest (Kiveris et al.
     2014), until nothing changes. A node with very many neighbours is one row beside many in a join, never a list.
     """
+    shared_dir(links.sparkSession)  # checkpoints need it
     edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct().checkpoint()
     state = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
     while True:

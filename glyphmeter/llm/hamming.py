@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import shared_dir
+
 #: Codes of an index block and queries of a query block.
 BLOCK_CODES, BLOCK_QUERIES = 16_384, 1_024
 
@@ -101,6 +103,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10) -> DataFrame:
     """
     vectors = vectors.select(F.col("vec_id").alias("id"), "embedding").where("vec_id IS NOT NULL AND embedding IS NOT NULL")
     vectors = vectors.withColumn("embedding", F.transform("embedding", lambda x: F.when(F.isnan(x), 0).otherwise(F.coalesce(x.cast("float"), F.lit(0.0).cast("float")))))
+    shared_dir(vectors.sparkSession)  # checkpoints need it
     width = -(-(vectors.agg(F.max(F.size("embedding"))).first()[0] or 0) // 8) or 1
     w = Window.partitionBy("code").orderBy("id")
     classes = _codes(vectors, width, k).withColumn("at", F.row_number().over(w)).where(F.col("at") <= k).groupBy("code").agg(F.sort_array(F.collect_list("id")).alias("ids"))

@@ -40,6 +40,7 @@ def records(pages: DataFrame, date: str = "2024-01-01T00:00:00Z") -> DataFrame:
     LEAST_REVISIT_BYTES and more, the one with the smallest page_id (all of them, if that id repeats) is a response,
     the others are revisits that name it and hold no payload. Payloads whose page_ids are all null are responses.
     """
+    shared_dir(pages.sparkSession)  # the checkpoint needs it
     full = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html")).withColumns({"digest": F.sha2("html", 256), "n": F.octet_length("html")})
     repeated = full.where(F.col("n") >= LEAST_REVISIT_BYTES).groupBy("digest").agg(F.min("page_id").alias("first_id"), F.count(F.lit(1)).alias("times")).where("times > 1").select("digest", "first_id").checkpoint()
     small = repeated.limit(MAX_BROADCAST_PAYLOADS + 1).count() <= MAX_BROADCAST_PAYLOADS
