@@ -202,9 +202,12 @@ def _crossing(lists: DataFrame, sets: DataFrame, condition: Column, percent: int
 
     sets (id, parity) has the bitmaps; they stand in the join's condition, so pairs that they rule out are never rows.
     """
-    counts = lists.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("k"))
-    major = counts.groupBy("token").agg(F.max_by("comp", F.struct("k", "comp")).alias("major"), F.count(F.lit(1)).alias("comps")).where("comps > 1").select("token", "major")
-    marked = lists.join(major, "token").withColumn("is_major", F.col("comp") == F.col("major")).drop("major").join(sets, "id")
+    # most lists lie within one component by now and go before anything else is counted
+    tokens = lists.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("token")
+    open_ = lists.join(tokens, "token")
+    counts = open_.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("k"))
+    major = counts.groupBy("token").agg(F.max_by("comp", F.struct("k", "comp")).alias("major"))
+    marked = open_.join(major, "token").withColumn("is_major", F.col("comp") == F.col("major")).drop("major").join(sets, "id")
     x, y = marked.where(~F.col("is_major")).alias("x"), marked.alias("y")
     met = (F.col("x.token") == F.col("y.token")) & (F.col("x.comp") != F.col("y.comp")) & (F.col("y.is_major") | (F.col("x.id") < F.col("y.id"))) & condition
     met &= parities_allow(F.col("x.n"), F.col("x.parity"), F.col("y.n"), F.col("y.parity"), percent)
