@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, hamming, jaccard_join, language, packing, secrets, toxicity, url_filter, warc
+from . import chat, decontaminate, divergence, hamming, jaccard_join, language, packing, secrets, toxicity, url_filter, warc, whitening
 from .common import table
 
 QUERIES = {}
@@ -174,3 +174,37 @@ d AS (SELECT q.vec_id AS query_id, c.vec_id,
 r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS INTEGER) AS rank FROM d)
 SELECT query_id, rank, vec_id, distance FROM r WHERE rank <= 10
 """
+
+
+@query
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distances between the sources of each language, and the terms that set each source apart."""
+    return divergence.audit(table(spark, sf_dir, "documents", "text", "lang", "source"))
+
+
+ORACLES["op12_source_divergence"] = r"""
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+                  translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+w AS MATERIALIZED (SELECT r, lang, source, unnest(regexp_extract_all(t, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+k AS (SELECT lang, term, count(*) AS lang_n FROM w GROUP BY lang, term HAVING count(DISTINCT r) >= 30),
+c AS (SELECT lang, source, term, count(*) AS n FROM w GROUP BY ALL),
+g AS (SELECT DISTINCT lang, source FROM d),
+f AS (SELECT g.lang, g.source, k.term, lang_n, coalesce(n, 0) AS n FROM g JOIN k USING (lang) LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+p AS MATERIALIZED (SELECT lang, source, term, n,
+            1 + (1000000000::HUGEINT * (n + 5)) // (sum(n) OVER s + 5 * count(*) OVER s) AS p,
+            1 + (1000000000::HUGEINT * (lang_n + 5)) // (sum(lang_n) OVER s + 5 * count(*) OVER s) AS q
+     FROM f WINDOW s AS (PARTITION BY lang, source)),
+two AS (SELECT x.lang, x.source, y.source AS item, sum(abs(x.p - y.p)) AS v FROM p x JOIN p y ON x.lang = y.lang AND x.term = y.term AND x.source <> y.source GROUP BY ALL),
+pairs AS (SELECT x.lang, x.source, y.source AS item, coalesce(v, 0) AS v FROM g x JOIN g y ON x.lang = y.lang AND x.source <> y.source
+          LEFT JOIN two ON two.lang = x.lang AND two.source = x.source AND two.item = y.source),
+a AS (SELECT lang, source, 'pair' AS part, item, v FROM pairs UNION ALL SELECT lang, source, 'term', term, p - q FROM p WHERE n > 0 AND p > q),
+r AS (SELECT lang, source, part, item, CAST(v AS BIGINT) AS value, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY v DESC, item) AS INTEGER) AS rank FROM a)
+SELECT * FROM r WHERE part = 'pair' OR rank <= 50
+"""
+
+
+@query
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every finite vector on the eight leading components, whitened."""
+    white = whitening.whiten(table(spark, sf_dir, "embeddings", "vec_id", "embedding"))
+    return white.withColumn("deviation", F.col("deviation").cast("bigint"))
