@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, divergence, hamming, jaccard_join, language, packing, secrets, toxicity, url_filter, warc, whitening
+from . import chat, decontaminate, divergence, hamming, jaccard_join, language, ngram_lm, packing, secrets, toxicity, url_filter, warc, whitening
 from .common import table
 
 QUERIES = {}
@@ -176,6 +176,14 @@ SELECT query_id, rank, vec_id, distance FROM r WHERE rank <= 10
 """
 
 
+@query
+def op11_ngram_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's probability under a trigram model of those that are not held out, and under their word counts."""
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    scores = ngram_lm.score(docs, ngram_lm.fit(docs.where(~ngram_lm.held_out(F.col("doc_id")))))
+    return scores.withColumn("held_out", ngram_lm.held_out(F.col("doc_id")))
+
+
 @query
 def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distances between the sources of each language, and the terms that set each source apart."""
@@ -207,4 +215,4 @@ SELECT * FROM r WHERE part = 'pair' OR rank <= 50
 def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every finite vector on the eight leading components, whitened."""
     white = whitening.whiten(table(spark, sf_dir, "embeddings", "vec_id", "embedding"))
-    return white.withColumn("deviation", F.col("deviation").cast("bigint"))
+    return white.withColumn("deviation", F.col("deviation").try_cast("bigint"))

@@ -113,7 +113,7 @@ def project(vectors: DataFrame, width: int, n: int, sums: list[int], values: np.
             furthest = n * int(np.abs(x).max(initial=0)) + max(map(abs, sums))
             # n * x - S, in longs where they hold the sum of its squares
             x = n * x - total.astype(np.int64) if furthest * furthest * width < 1 << 63 else n * x.astype(object) - total
-            deviation = pa.array((x * x).sum(1).tolist(), pa.decimal128(38, 0))
+            deviation = pa.array([d if d < 10**38 else None for d in (x * x).sum(1).tolist()], pa.decimal128(38, 0))
             whitened = (x / n).astype(np.float64) @ directions / np.sqrt(values)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * len(values), pa.int32()), pa.array(whitened.ravel()))
             yield pa.RecordBatch.from_arrays([batch.column(0), deviation, lists], ["vec_id", "deviation", "whitened"])
@@ -129,7 +129,8 @@ def whiten(vectors: DataFrame, components: int = COMPONENTS) -> DataFrame:
     most have (of equally many lengths, the longest). Repeated rows count and come back once for each; a null vec_id is
     kept; other columns are not read. Fewer components than asked for come back where the vectors span fewer, none where
     all are alike; an empty table gives an empty result. identity_error is measured on the whitened vectors: the largest
-    entry of their covariance less the identity. Entries beyond the range of longs are taken as its ends.
+    entry of their covariance less the identity. Entries beyond the range of longs are taken as its ends,
+    a deviation of more than 38 digits is null.
     """
     finite = F.forall("embedding", lambda x: F.coalesce(F.abs(x.cast("double")) < float("inf"), F.lit(False)))
     vectors = vectors.select("vec_id", "embedding").where("embedding IS NOT NULL").where(finite).withColumn("embedding", F.col("embedding").cast("array<double>"))
