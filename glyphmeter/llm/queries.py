@@ -180,8 +180,7 @@ SELECT query_id, rank, vec_id, distance FROM r WHERE rank <= 10
 def op11_ngram_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's probability under a trigram model of those that are not held out, and under their word counts."""
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
-    scores = ngram_lm.score(docs, ngram_lm.fit(docs.where(~ngram_lm.held_out(F.col("doc_id")))))
-    return scores.withColumn("held_out", ngram_lm.held_out(F.col("doc_id")))
+    return ngram_lm.score(docs, ~ngram_lm.held_out(F.col("doc_id"))).withColumn("held_out", ngram_lm.held_out(F.col("doc_id")))
 
 
 @query
