@@ -243,7 +243,7 @@ def test_quantised_codes_keep_few_values_and_bin_many():
 def test_messages_survive_packing():
     rng = np.random.default_rng(6)
     v = np.sort(rng.integers(0, 200, 1000))
-    u, w, n, tail = rng.integers(0, 2**21, 1000), rng.integers(0, 2**21, 1000), rng.integers(0, 2**31, 1000), rng.integers(0, 2**63, 17).astype(U64)
+    u, w, n, tail = rng.integers(0, 2**21, 1000), rng.integers(0, 2**21, 1000), rng.integers(0, 2**31, 1000), np.sort(rng.integers(0, 2**63, 17)).astype(U64)
     u[v == v[500]].sort()
     grams, beside, got = ngram_lm.unpack(ngram_lm.pack(np.stack([u, v, w]), n, tail))
     assert (grams == [u, v, w]).all() and (beside == n).all() and (got == tail).all()
