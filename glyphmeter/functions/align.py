@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StringType, StructType
 
+from .distance import common_ends, levenshtein
+
 #: Weight of an edit against a hit: of all shortest scripts the one with most hits is taken.
 EDIT = 1 << 32
 #: Cells of a table that is kept for tracing back; larger problems are halved first.
@@ -71,12 +73,53 @@ def script(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
     return left + [(i + head if i >= 0 else -1, j + head if j >= 0 else -1) for i, j in middle] + right
 
 
+def operation_counts(a: list, b: list) -> tuple[int, int, int, int]:
+    """Hits, substitutions, deletions and insertions of the shortest script with most hits.
+
+    The distance comes first, bit-parallel; the table is then filled along the diagonals that it allows.
+    """
+    head, tail = common_ends(a, b)
+    a, b = a[head : len(a) - tail], b[head : len(b) - tail]
+    n, m, hits = len(a), len(b), 0
+    if not n or not m:
+        return head + tail, 0, n, m
+    k = levenshtein(a, b)
+    codes = {w: c for c, w in enumerate(dict.fromkeys([*a, *b]))}
+    x, y = [codes[w] for w in a], np.array([-1] * k + [codes[w] for w in b] + [-1] * (k + max(0, n - m) + 1))
+    # column t of row i is place i - k + t of b
+    steps = EDIT * np.arange(2 * k + 1, dtype=np.int64)
+    far = np.int64(1) << 60
+    row = np.where(np.arange(2 * k + 1) >= k, steps - EDIT * k, far)
+    for i, code in enumerate(x):
+        best = row + np.where(y[i : i + 2 * k + 1] == code, -1, EDIT)
+        np.minimum(best[:-1], row[1:] + EDIT, out=best[:-1])
+        row = np.minimum(np.minimum.accumulate(best - steps) + steps, far)
+    hits = -int(row[m - n + k] - EDIT * k)
+    subs = n + m - 2 * hits - k
+    return head + tail + hits, subs, n - hits - subs, m - hits - subs
+
+
 def word_script(gt: str, hyp: str) -> tuple[list[str], list[str], list[tuple[int, int]]]:
     g, h = gt.split(), hyp.split()
     codes = {w: k for k, w in enumerate(dict.fromkeys(g + h))}
     return g, h, script(np.array([codes[w] for w in g], np.int64), np.array([codes[w] for w in h], np.int64))
 
 
+def run_lengths(a: list, b: list) -> Iterator[tuple[int, int]]:
+    """Lengths on both sides of the runs between hits."""
+    codes = {w: k for k, w in enumerate(dict.fromkeys([*a, *b]))}
+    n = m = 0
+    for i, j in script(np.array([codes[w] for w in a], np.int64), np.array([codes[w] for w in b], np.int64)):
+        if i >= 0 and j >= 0 and a[i] == b[j]:
+            if n or m:
+                yield n, m
+            n = m = 0
+        else:
+            n, m = n + (i >= 0), m + (j >= 0)
+    if n or m:
+        yield n, m
+
+
 def unequal_runs(gt: str, hyp: str) -> Iterator[tuple[str, str]]:
     """The runs of words between hits, as texts of both sides."""
     g, h, pairs = word_script(gt, hyp)
@@ -104,12 +147,7 @@ def character_edits(g: str, h: str) -> tuple[tuple[str, str], ...]:
 @F.pandas_udf(COUNTS)
 def word_operations(gt: pd.Series, hyp: pd.Series) -> pd.DataFrame:
     """Counts of the shortest script of words with most hits; null texts count as empty."""
-    out = []
-    for x, y in zip(gt.fillna(""), hyp.fillna(""), strict=True):
-        g, h, pairs = word_script(x, y)
-        dels, ins = sum(j < 0 for _, j in pairs), sum(i < 0 for i, _ in pairs)
-        hits = sum(i >= 0 and j >= 0 and g[i] == h[j] for i, j in pairs)
-        out.append((hits, len(pairs) - hits - dels - ins, dels, ins))
+    out = [operation_counts(x.split(), y.split()) for x, y in zip(gt.fillna(""), hyp.fillna(""), strict=True)]
     return pd.DataFrame(out, columns=["hits", "subs", "dels", "ins"], dtype="int64")
 
 

@@ -5,23 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Bounds of the banded edit distance, tried in turn before the full table: each costs as much as all before it.
-BANDS = (16, 64, 128, 256, 512, 1024, 2048, 4096)
-
-
-def edit_distance(a: Column, b: Column) -> Column:
-    """Levenshtein distance (code points) of two columns: the narrowest band that holds it decides.
-
-    Each band is asked only where the one before has no answer, and not at all where the lengths already differ by
-    more; one expression, so it should be kept in a column and not stand in a filter, which would evaluate it again.
-    """
-    apart = F.abs(F.length(a) - F.length(b))
-    found = F.levenshtein(a, b)
-    for band in reversed(BANDS):
-        # null where the band is too narrow
-        inside = F.when(apart <= band, F.nullif(F.levenshtein(a, b, band), F.lit(-1)))
-        found = F.coalesce(inside, found)
-    return F.when(a == b, F.lit(0)).otherwise(found).cast("bigint")
+from .distance import edit_distance
 
 
 def with_edit_distance(df: DataFrame, a: str, b: str, name: str) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import images as I
 from ..functions import normalise as N
-from ..functions.text import edit_distance
+from ..functions.distance import edit_distance
 from ..operators import errors, report
 from ..sources import derived
 from ..sources.derived import METRICS_SQL

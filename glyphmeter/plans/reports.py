@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -53,9 +56,15 @@ def worst_docs_topk(spark, sf_dir):
 SELECT engine, doc_id, CAST(line AS INTEGER) AS line, gt_line, hyp_line, line_cer FROM w ORDER BY line_cer DESC, engine, doc_id, line LIMIT 25""")
 def worst_lines_topk(spark, sf_dir):
     """A report of the 25 worst lines."""
-    # lines with an error are those that differ; a filter on errors would measure the distance twice
-    rows = derived.lines(derived.outputs(spark, sf_dir)).where("length(gt_line) > 0 AND gt_line <> hyp_line")
-    return rows.select("engine", "doc_id", "line", "gt_line", "hyp_line", F.least(F.lit(1.0), F.col("errors") / F.length("gt_line")).alias("line_cer")).orderBy(F.desc("line_cer"), "engine", "doc_id", "line").limit(25)
+    worst = derived.line_metrics(spark, sf_dir).where("ref_chars > 0 AND errors > 0").withColumn("line_cer", F.least(F.lit(1.0), F.col("errors") / F.col("ref_chars")))
+    worst = worst.select("engine", "doc_id", "line", "texts", "line_cer").orderBy(F.desc("line_cer"), "engine", "doc_id", "line").limit(25)
+    # the texts of 25 lines, from the documents they are in
+    alike = lambda a, b, *names: reduce(and_, (a[n].eqNullSafe(b[n]) for n in names))
+    pairs, ids = derived.outputs(spark, sf_dir), F.broadcast(worst.select("engine", "doc_id").distinct())
+    pairs = pairs.join(ids, alike(pairs, ids, "engine", "doc_id"), "left_semi")
+    texts = derived.split_lines(pairs).withColumn("texts", F.xxhash64("gt_line", "hyp_line")).select("engine", "doc_id", "line", "texts", "gt_line", "hyp_line").distinct()
+    worst = F.broadcast(worst)
+    return texts.join(worst, alike(texts, worst, "engine", "doc_id", "line", "texts")).select(worst["engine"], worst["doc_id"], worst["line"], "gt_line", "hyp_line", "line_cer")
 
 
 @register(f"""WITH {METRICS_SQL},
@@ -94,7 +103,7 @@ d AS (SELECT engine, doc_id, count(*) AS n, avg(x) AS mean_line_cer, quantile_co
 SELECT engine, avg(mean_line_cer) AS mean_line_cer, avg(p50) AS p50, avg(p90) AS p90, avg(p99) AS p99, avg(over_30) AS over_30, avg(gini) AS gini, stddev_samp(gini) AS gini_stdev, CAST(sum(n) AS BIGINT) AS lines FROM d GROUP BY engine""")
 def line_gini_percentiles(spark, sf_dir):
     """Distribution of line error rates within documents, averaged over each engine's documents."""
-    x = derived.lines(derived.outputs(spark, sf_dir)).where("length(gt_line) > 0").select("engine", "doc_id", "line", F.least(F.lit(1.0), F.col("errors") / F.length("gt_line")).alias("x"))
+    x = derived.line_metrics(spark, sf_dir).where("ref_chars > 0").select("engine", "doc_id", "line", F.least(F.lit(1.0), F.col("errors") / F.col("ref_chars")).alias("x"))
     rows = x.withColumn("k", F.row_number().over(Window.partitionBy("engine", "doc_id").orderBy("x", "line")))
     n = F.count(F.lit(1))
     gini = F.when(F.sum("x") > 0, 2 * F.sum(F.col("k") * F.col("x")) / (n * F.sum("x")) - (n + 1) / n).otherwise(0.0)

@@ -1,7 +1,7 @@
 """Input tables: ground truth from documents, deterministic engine outputs, and the line-aligned document metrics.
 
 An engine output pairs with its ground truth by document; both are read line by line, and a document's error count is
-the sum over its lines, so the edit distance never meets more than a line and micro averages stay additive.
+the sum over its lines. The SHIFTED engines change the number of lines; operators/documents.py measures them whole.
 """
 
 from __future__ import annotations
@@ -9,7 +9,8 @@ from __future__ import annotations
 from collections.abc import Callable
 from contextvars import ContextVar
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import with_edit_distance
@@ -80,37 +81,77 @@ def plain_letters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("hyp", F.translate("gt", ACCENTED, PLAIN))
 
 
-def lines(pairs: DataFrame) -> DataFrame:
-    """One row per aligned line (from 0) of each pair: gt_line, hyp_line and their edit distance errors."""
+def split_lines(pairs: DataFrame) -> DataFrame:
+    """One row per line (from 0) of each pair, by number: gt_line and hyp_line."""
     zipped = F.arrays_zip(F.split("gt", "\n").alias("g"), F.split("hyp", "\n").alias("h"))
     rows = pairs.select("engine", "doc_id", "stratum", "corpus", F.posexplode(zipped).alias("line", "z"))
     text = lambda c: F.coalesce(F.col(c), F.lit(""))
-    return rows.select("engine", "doc_id", "stratum", "corpus", "line", text("z.g").alias("gt_line"), text("z.h").alias("hyp_line")).transform(with_edit_distance, "gt_line", "hyp_line", "errors")
+    return rows.select("engine", "doc_id", "stratum", "corpus", "line", text("z.g").alias("gt_line"), text("z.h").alias("hyp_line"))
 
 
-#: Where the document metrics of a session's tables are stored, by application, folder, profile and the files read.
-_METRICS: dict[tuple, str] = {}
-METRICS = "engine string, doc_id bigint, stratum string, corpus string, errors bigint, ref_chars bigint, cer double"
+def lines(pairs: DataFrame) -> DataFrame:
+    """split_lines with the edit distance errors of each line."""
+    return split_lines(pairs).transform(with_edit_distance, "gt_line", "hyp_line", "errors")
 
 
-def doc_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """engine, doc_id, stratum, corpus, errors, ref_chars, cer of every engine and document.
+#: Where a session's tables are kept, by application, folder, name, profile and the files read.
+_KEPT: dict[tuple, str] = {}
+LINE_METRICS = "engine string, doc_id bigint, stratum string, corpus string, line int, ref_chars int, errors bigint, texts bigint"
+METRICS = "engine string, doc_id bigint, stratum string, corpus string, errors bigint, ref_chars bigint, cer double"
+
 
-    Measured once for a session and its files and kept in the shared folder, as nearly every report reads them.
-    """
+def kept(spark: SparkSession, sf_dir: str, name: str, schema: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """What make gives, written to the shared folder once for a session and its documents, and again if that folder is gone."""
     meta = F.col("_metadata")
     files = load(spark, sf_dir, "documents").agg(F.count(F.lit(1)), F.sum(F.xxhash64(meta["file_path"], meta["file_size"], meta["file_modification_time"]).cast("decimal(38,0)")))
-    key = (spark.sparkContext.applicationId, sf_dir, is_as_written(), *files.first())
-    if key not in _METRICS:
-        path = fresh_folder(spark, "doc_metrics")
-        _measured(spark, sf_dir).write.parquet(path)
-        _METRICS[key] = path
-    return spark.read.schema(METRICS).parquet(_METRICS[key])
+    key = (spark.sparkContext.applicationId, sf_dir, name, is_as_written(), *files.first())
+    if key in _KEPT:
+        try:
+            return spark.read.schema(schema).parquet(_KEPT[key])
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+    path = fresh_folder(spark, name)
+    make().write.parquet(path)
+    _KEPT[key] = path
+    return spark.read.schema(schema).parquet(path)
+
+
+def line_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """engine, doc_id, stratum, corpus, line, ref_chars, errors of every line, and texts, a hash of its two sides; kept."""
+    rows = lambda: lines(outputs(spark, sf_dir)).select("engine", "doc_id", "stratum", "corpus", "line", F.length("gt_line").alias("ref_chars"), "errors", F.xxhash64("gt_line", "hyp_line").alias("texts"))
+    return kept(spark, sf_dir, "line_metrics", LINE_METRICS, rows)
+
+
+def doc_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """engine, doc_id, stratum, corpus, errors, ref_chars, cer of every engine and document; kept, as nearly every report reads them."""
+
+    def summed() -> DataFrame:
+        rows = line_metrics(spark, sf_dir).groupBy("engine", "doc_id", "stratum", "corpus").agg(F.sum("errors").alias("errors"), F.sum("ref_chars").alias("ref_chars"))
+        return rows.withColumn("cer", F.when(F.col("ref_chars") > 0, F.col("errors") / F.col("ref_chars")))
+
+    return kept(spark, sf_dir, "doc_metrics", METRICS, summed)
 
 
-def _measured(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = lines(outputs(spark, sf_dir)).groupBy("engine", "doc_id", "stratum", "corpus").agg(F.sum("errors").alias("errors"), F.sum(F.length("gt_line")).cast("bigint").alias("ref_chars"))
-    return rows.withColumn("cer", F.when(F.col("ref_chars") > 0, F.col("errors") / F.col("ref_chars")))
+def _split_joined(gt: Column, glue: Callable) -> Column:
+    lines_ = F.split(gt, "\n")
+    return F.array_join(F.transform(lines_, lambda x, i: F.concat(x, F.when(i == F.size(lines_) - 1, "").otherwise(glue(i)))), "")
+
+
+#: Engines that change the number of lines, on texts as they are: some lose lines, some add them, some join two.
+SHIFTED = {
+    "loses_lines": lambda gt: F.translate(F.array_join(F.filter(F.split(gt, "\n"), lambda x, i: i % 4 != 1), "\n"), "e", "c"),
+    "adds_lines": lambda gt: F.array_join(F.flatten(F.transform(F.split(gt, "\n"), lambda x, i: F.when(i % 5 == 2, F.array(F.lit("folio recto"), x)).otherwise(F.array(x)))), "\n"),
+    "joins_lines": lambda gt: F.translate(_split_joined(gt, lambda i: F.when(i % 3 == 0, " ").otherwise("\n")), "u", ""),
+    "e_as_c": ENGINES["e_as_c"],
+}
+
+
+def shifted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """engine, doc_id, stratum, corpus, gt, hyp of the SHIFTED engines, over texts as they are."""
+    docs = spread(load(spark, sf_dir, "documents")).select("doc_id", F.col("lang").alias("stratum"), F.col("source").alias("corpus"), F.coalesce("text", F.lit("")).alias("gt"))
+    made = F.array(*[F.struct(F.lit(e).alias("engine"), f(F.col("gt")).alias("hyp")) for e, f in SHIFTED.items()])
+    return docs.select("*", F.explode(made).alias("o")).select("o.engine", "doc_id", "stratum", "corpus", "gt", "o.hyp")
 
 
 #: Engines that err in the ways of the nine classes, on texts as they are.
