@@ -8,10 +8,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import checkpointed
+
 FACT = "fact string, importance int, engines array<string>, stratum string, value double"
 
 # The order of facts of equal importance, and pairs of facts that may name the same engines.
@@ -216,33 +217,28 @@ def without_contradictions(facts: DataFrame) -> DataFrame:
     return facts.join(ties, inside, "left_anti")
 
 
-def _chosen(rows: pd.DataFrame, most: int) -> pd.DataFrame:
-    kept: list[dict] = []
-    for row in rows.sort_values("place").to_dict("records"):
-        who = set(row["engines"])
-
-        def repeats(other: dict, row: dict = row, who: set = who) -> bool:
-            if who != set(other["engines"]):
-                return False
-            if row["fact"] == other["fact"] and row["stratum"] == other["stratum"]:
-                return True
-            return frozenset((row["fact"], other["fact"])) not in COMPLEMENTARY
-
-        if len(kept) < most and not any(map(repeats, kept)):
-            kept.append(row)
-    return pd.DataFrame(kept, columns=rows.columns)
+def _says_again(new: str, old: str) -> Column:
+    """Whether a fact repeats another one of the same engines: a like fact of one stratum, or any that does not complement it."""
+    n, o = (lambda c: F.col(f"{new}.{c}")), (lambda c: F.col(f"{old}.{c}"))
+    pair = F.array_join(F.array_sort(F.array(n("fact"), o("fact"))), "+")
+    complements = pair.isin(["+".join(sorted(p)) for p in COMPLEMENTARY])
+    return (n("who") == o("who")) & ((n("fact") == o("fact")) & n("stratum").eqNullSafe(o("stratum")) | ~complements)
 
 
 def selected(facts: DataFrame, most: int = 5, least: int = 2) -> DataFrame:
     """The weightiest facts, in order (position from 1), none repeating what one before it says of the same engines.
 
-    Facts are as few as rules, engines and strata allow, so one task chooses among them.
+    Each round takes the first fact that is left and drops those that repeat it; facts of other engines never meet.
     """
     order = F.create_map(*[F.lit(x) for k, name in enumerate(ORDER) for x in (name, k)])
     kept = without_contradictions(facts.where(F.col("importance") >= least))
     w = Window.orderBy(F.desc("importance"), F.coalesce(F.try_element_at(order, F.col("fact")), F.lit(len(ORDER))), "engines", F.coalesce("stratum", F.lit("")), "value")
-    placed = kept.withColumn("place", F.row_number().over(w))
-    schema = FACT + ", place int"
-    names = [c.split()[0] for c in schema.split(", ")]
-    chosen = placed.select(*names).groupBy(F.lit(0).alias("all")).applyInPandas(lambda part: _chosen(part[names], most), schema)
-    return chosen.withColumn("position", F.row_number().over(Window.orderBy("place"))).drop("place")
+    names = [c.split()[0] for c in FACT.split(", ")]
+    left = checkpointed(kept.withColumn("place", F.row_number().over(w)).withColumn("who", F.array_sort(F.array_distinct("engines"))))
+    chosen = None
+    for _ in range(most):
+        first = left.orderBy("place").limit(1)
+        chosen = first if chosen is None else chosen.unionByName(first)
+        rest = left.alias("n").join(first.alias("o"), (F.col("n.place") == F.col("o.place")) | _says_again("n", "o"), "left_anti")
+        left = checkpointed(rest)
+    return chosen.select(*names, F.row_number().over(Window.orderBy("place")).alias("position"))

@@ -2,10 +2,12 @@
 
 import random
 from collections import Counter
+from difflib import SequenceMatcher
 
 import pytest
 from pyspark.sql import functions as F
 
+from glyphmeter.functions import blocks
 from glyphmeter.functions import errors as E
 from glyphmeter.functions import matching as M
 from glyphmeter.functions.text import with_edit_distance
@@ -114,6 +116,39 @@ def test_fuzzy_search_equals_a_plain_one(most):
         assert E.fuzzy_found(gt, hyp, most) == plain_fuzzy(gt, hyp, most)
 
 
+def test_fuzzy_search_of_words_of_any_length():
+    rng = random.Random(11)
+    for n in (1, 2, 3, 50, 1000, 100_000):
+        word = "".join(rng.choices("abcdé", k=n))
+        middle = n // 2
+        near = [word[:middle] + "Z" + word[middle + 1 :], word[1:] + "y", "x" + word]
+        far = word[: n // 4] + "ZZZ" + word[n // 4 :]
+        assert E.fuzzy_found([word] * 4, [far, *near], 2) == [True] * 3 + [False] if n > 3 else True
+        assert E.fuzzy_found([word], [far], 2) == [False] and E.fuzzy_found([word], [], 2) == [False]
+    for _ in range(150):
+        gt, hyp = (["".join(rng.choices("ab", k=rng.randrange(9, 16))) for _ in range(12)] for _ in range(2))
+        assert E.fuzzy_found(gt, hyp, 3) == plain_fuzzy(gt, hyp, 3)
+
+
+def test_blocks_are_those_of_the_standard_matcher(spark):
+    rng = random.Random(6)
+
+    def wanted(a, b):
+        return [tuple(m) for m in SequenceMatcher(None, a, b, autojunk=False).get_matching_blocks()[:-1]]
+
+    for _ in range(1500):
+        letters = "abcdef"[: rng.randrange(1, 7)]
+        a, b = ("".join(rng.choice(letters) for _ in range(rng.randrange(25))) for _ in range(2))
+        assert blocks.matching(a, b) == wanted(a, b)
+    rows = derived.lines(derived.varied(spark, SF_DIR).where("engine IN ('splits_words', 'loses_words')")).select("gt_line", "hyp_line").collect()
+    assert len(rows) > 1000
+    for r in rows:
+        a, b = r.gt_line.lower().split(), r.hyp_line.lower().split()
+        assert blocks.matching(a, b) == wanted(a, b)
+    words = [str(rng.randrange(50)) for _ in range(20_000)]
+    assert sum(n for _, _, n in blocks.matching(words, words[:9000] + words[9500:])) == 19_500
+
+
 def test_fuzzy_queries(spark):
     docs = {(r.engine, r.doc_id): r for r in registry.QUERIES["document_fuzzy_recall"](spark, SF_DIR).collect()}
     rows = derived.varied(spark, SF_DIR).where("length(gt) < 400").collect()
