@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
@@ -32,7 +33,7 @@ _STEMS = ("pass", "pwd", "secret", "token", "cred", "auth", "key")
 #: Least product of the name's and the literal's score.
 THRESHOLD = 0.4
 
-_STRING = r"\"{3}(?:[^\\]|\\.){0,4000}?\"{3}|'{3}(?:[^\\]|\\.){0,4000}?'{3}|\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|`(?:[^`\\]|\\.)*`"
+_STRING = r"\"{3}(?:[^\\]|\\.)*?\"{3}|'{3}(?:[^\\]|\\.)*?'{3}|\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|`(?:[^`\\]|\\.)*`"
 _NAME = r"[A-Za-z_$][\w$]*(?:[.\-][A-Za-z_$][\w$]*)*"
 _TERM = rf"(?:{_STRING}|{_NAME})"
 #: name [type] operator expression of strings and names. The target may be quoted or end in a quoted index.
@@ -44,12 +45,15 @@ _PAIR = re.compile(
 _LINE = re.compile(rf"(?m)^[ \t]*(?:export[ \t]+|set[ \t]+|setx[ \t]+|ENV[ \t]+|-[ \t]+)*({_NAME})[ \t]*(\+=|\?=|:=|[:=])[ \t]*([^\s\"'`#;,{{}}\[\]()<>]+)[ \t]*$")
 #: Options of a command: --name value or --name=value.
 _OPTION = re.compile(rf"(?<!\S)--({_NAME})(?:=|[ \t]+)(?:({_STRING})|([^\s\"'`;|&<>-][^\s\"'`;|&<>]*))")
-#: XML: an element's text, and attributes that name and give a value.
-_ELEMENT = re.compile(rf"<({_NAME})(?:[ \t]+(?:name|key|id)[ \t]*=[ \t]*[\"']({_NAME})[\"'])?[ \t]*>[ \t]*([^<>\s][^<>\n]{{0,1000}}?)[ \t]*</\1>")
-_ATTRIBUTES = re.compile(rf"\b(?:name|key|id)[ \t]*=[ \t]*[\"']({_NAME})[\"'][^<>\n]{{0,300}}?\bvalue[ \t]*=[ \t]*({_STRING})")
+#: XML: an element's text, what names an attribute and what gives its value, and what neither may cross.
+_ELEMENT = re.compile(rf"<({_NAME})(?:[ \t]+(?:name|key|id)[ \t]*=[ \t]*[\"']({_NAME})[\"'])?[ \t]*>[ \t]*([^<>\s][^<>\n]*)</\1>")
+_NAMING = re.compile(rf"\b(?:name|key|id)[ \t]*=[ \t]*[\"']({_NAME})[\"']")
+_VALUE = re.compile(rf"\bvalue[ \t]*=[ \t]*({_STRING})")
+_BREAK = re.compile(r"[<>\n]")
 _PART = re.compile(rf"({_STRING})|({_NAME})")
-#: Comments, and the strings in which their marks mean nothing.
-_COMMENT = re.compile(rf"({_STRING})|(?:(?<=\s)|^)(?:#|//|;)[^\n]*|/\*(?s:.){{0,20000}}?\*/|<!--(?s:.){{0,20000}}?-->", re.M)
+#: Strings, in which the marks of comments mean nothing, comments to the end of a line, and marks that open longer ones.
+_COMMENT = re.compile(rf"({_STRING})|(?:(?<=\s)|^)(?:#|//|;)[^\n]*|(/\*|<!--)", re.M)
+_CLOSES = {"/*": "*/", "<!--": "-->"}
 #: What opens and closes a nested block, with its name, and the heads of indented blocks.
 _BLOCK = re.compile(rf"({_STRING})(?![ \t]*[:=]?[ \t]*\{{)|(?:[\"']?({_NAME})[\"']?[ \t]*[:=]?[ \t]*)?([{{])|([}}])")
 _HEAD = re.compile(rf"(?m)^([ ]*)(?:-[ ]+)?[\"']?({_NAME})[\"']?:[ \t]*$")
@@ -104,11 +108,45 @@ def _pairs(view: str) -> list[tuple[int, str, str, list[tuple[str, int, int]]]]:
         for m in _OPTION.finditer(view):
             found.append((m.start(), m[1], "=", [_quoted(view, *m.span(2)) if m[2] else ("b", *m.span(3))]))
     if "<" in view:
-        found += [(m.start(), m[2] or m[1], "=", [("s", *m.span(3))]) for m in _ELEMENT.finditer(view)]
-        found += [(m.start(), m[1], "=", [_quoted(view, *m.span(2))]) for m in _ATTRIBUTES.finditer(view)]
+        found += [(m.start(), m[2] or m[1], "=", [("s", m.start(3), m.start(3) + len(m[3].rstrip(" \t")))]) for m in _ELEMENT.finditer(view)]
+        found += _attributes(view)
     return sorted(found, key=lambda x: (x[0], x[3][-1][2]))
 
 
+def _attributes(view: str) -> list[tuple[int, str, str, list[tuple[str, int, int]]]]:
+    """Attributes that name something, each with the next that gives a value in the same tag and line, if any; in one pass."""
+    found, values, at, past = [], list(_VALUE.finditer(view)), 0, 0
+    breaks = [m.start() for m in _BREAK.finditer(view)] if values else []
+    for m in _NAMING.finditer(view) if values else ():
+        if m.start() < past:
+            continue
+        while at < len(values) and values[at].start() < m.end():
+            at += 1
+        if at == len(values):
+            break
+        k = bisect_left(breaks, m.end())
+        if k == len(breaks) or breaks[k] > values[at].start():
+            found.append((m.start(), m[1], "=", [_quoted(view, *values[at].span(1))]))
+            past = values[at].end()
+    return found
+
+
+def _comments(text: str) -> list[tuple[int, int]]:
+    """Spans of comments; a mark that is never closed opens none."""
+    found, at, open_ = [], 0, set(_CLOSES)
+    while m := _COMMENT.search(text, at):
+        at = m.end()
+        if m[2]:
+            end = text.find(_CLOSES[m[2]], at) if m[2] in open_ else -1
+            if end < 0:  # nor is any later one
+                open_.discard(m[2])
+                continue
+            at = end + len(_CLOSES[m[2]])
+        if not m[1]:
+            found.append((m.start(), at))
+    return found
+
+
 def _blocks(view: str) -> list[tuple[int, int, str]]:
     """(start, end, name) of the named blocks in braces and of those by indentation."""
     found, open_ = [], []
@@ -162,7 +200,7 @@ def lexed(text: str) -> list[tuple[int, int]]:
 
     What a comment assigns is judged like the rest, but the code does not see it as a constant, nor one comment another's.
     """
-    comments = [m.span() for m in _COMMENT.finditer(text) if not m[1]]
+    comments = _comments(text)
     code, at = [], 0
     for a, b in comments:
         code += [text[at:a], " " * (b - a)]
@@ -183,7 +221,7 @@ def find_spans(text: str | None) -> list[tuple[str, int, int]]:
     if "AKIA" in text:
         out += [("access", m.start(), m.end()) for m in _ACCESS.finditer(text)]
     out += [("hex", m.start(), m.end()) for m in _HEX.finditer(text)]
-    if ("=" in text or ":" in text) and any(s in low for s in _STEMS):
+    if any(s in low for s in _STEMS) and any(mark in text for mark in ("=", ":", "--", "<")):
         base = [(a, b) for _, a, b in out]
         out += [("lexed", a, b) for a, b in lexed(text) if not any(x <= a and b <= y for x, y in base)]
     return sorted(out, key=lambda s: (s[1], KINDS.index(s[0]), s[2]))

@@ -3,7 +3,9 @@
 import hashlib
 import random
 import re
+import time
 
+import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
 from glyphmeter.llm import chat, secrets, url_filter, warc
@@ -50,6 +52,39 @@ def test_lexer_reads_the_syntax_of_each_language():
         assert [text[a:b] for k, a, b in secrets.find_spans(text) if k == "lexed"] == wanted, name
 
 
+def test_options_and_elements_need_no_assignment_in_the_text():
+    for text in ("mysql --password hunter2abC9x", "<password>hunter2abC9x</password>", "<password> hunter2abC9x \t</password>"):
+        assert [text[a:b] for k, a, b in secrets.find_spans(text) if k == "lexed"] == ["hunter2abC9x"]
+
+
+def test_lexed_values_of_any_length_and_distance():
+    long = "".join(random.Random(5).choices("abcXYZ019", k=30_000))
+    attributes = " ".join(f'a{k}="{k}"' for k in range(5000))
+    for text, wanted in (
+        (f"<passphrase>{long}</passphrase>", long), (f'<add key="ClientPwd" {attributes} value="xmL9attrib"/>', "xmL9attrib"), (f'client_pwd = """{long}"""', long),
+        (f'/* {"x " * 30_000} client_pwd = "inS1deXX" */', "inS1deXX"), (f'<!-- {"y " * 30_000} --> client_pwd = "oUts1deX"', "oUts1deX"),
+    ):
+        assert [text[a:b] for k, a, b in secrets.find_spans(text) if k == "lexed"] == [wanted]
+
+
+def test_marks_that_are_never_closed_cost_no_more_than_their_text():
+    began = time.process_time()
+    for piece in ("/* pwd=", "<!-- pwd: ", '<a id="pwd" ', "id='pwd' ", '""" pwd = ', "<pwd>aB3 ", "{pwd: ", "'pwd "):
+        secrets.find_spans(piece * 20_000)
+    assert time.process_time() - began < 60
+
+
+def test_one_pass_finds_what_plain_patterns_find_on_a_whole_table():
+    """Comments and XML attributes by single expressions that look ahead without bounds, on every text of the table."""
+    comment = re.compile(secrets._COMMENT.pattern.replace(r"(/\*|<!--)", r"/\*(?s:.)*?\*/|<!--(?s:.)*?-->"), re.M)
+    attribute = re.compile(secrets._NAMING.pattern + r"[^<>\n]*?" + secrets._VALUE.pattern)
+    texts = [t for t in pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["text"]).column("text").to_pylist() if t]
+    texts += [text for text, _ in SAMPLES.values()] + ['/* a */ "/* b" <!-- c --> # d\n /* e', '<a id="x" name="y" value="v1z"> <b key="k"\nvalue="w"> <c key="k" value=\'w\' id="i" value="u">']
+    for text in texts:
+        assert secrets._comments(text) == [m.span() for m in comment.finditer(text) if not m[1]]
+        assert [(at, name) for at, name, *_ in secrets._attributes(text)] == [(m.start(), m[1]) for m in attribute.finditer(text)]
+
+
 def test_comments_are_scopes_of_their_own():
     text = '# SALT = "ab12cd34"\nclient_pwd = SALT\n# PEPPER = "ee55ff66"\n# old_pwd = PEPPER\n'
     assert [k for k, *_ in secrets.find_spans(text)] == []
