@@ -8,7 +8,8 @@
    links make components. Then every pair of a list whose entries still lie in different components is expanded to its
    members, and verified unless parity bitmaps of the two sets already differ in too many places. So no link between
    components is missed, and a large group of copies costs as many verifications as it has members.
-4. Verification sends the exact shingle set of each candidate to the document it is compared with, once for a pair.
+4. Candidates whose wide parity bitmaps differ in too many places go. Verification sends the exact shingle set of each
+   one that is left to the document it is compared with, once for a pair.
 """
 
 from __future__ import annotations
@@ -39,10 +40,11 @@ FAN = 64
 #: Bytes of sets that a worker holds before it hands them on.
 SENT_BYTES = 2 << 20
 
-#: Bits of a set's parity bitmap; two sets differ in at least as many shingles as their bitmaps do in bits.
+#: Bits of a set's parity bitmap; two sets differ in at least as many shingles as their bitmaps do in bits. The wide one of
+#: a larger set has two bits or more for each shingle.
 PARITY_BITS = 1024
 
-PREFIXES = "doc_id bigint, n bigint, set_key string, group_key string, prefix array<bigint>, parity array<bigint>"
+PREFIXES = "doc_id bigint, n bigint, set_key string, group_key string, prefix array<bigint>, parity array<bigint>, wide array<bigint>"
 
 
 def shingle_ranks(docs: DataFrame) -> np.ndarray:
@@ -76,12 +78,12 @@ def shingle_ranks(docs: DataFrame) -> np.ndarray:
 
 
 def prefixes(docs: DataFrame, ranks: np.ndarray, percent: int) -> DataFrame:
-    """doc_id, set size, keys of the set and of its group, the prefix in rank order (none for empty sets) and the parity bitmap."""
+    """doc_id, set size, keys of the set and of its group, the prefix in rank order (none for empty sets) and the parity bitmaps."""
     known, shift = docs.sparkSession.sparkContext.broadcast(ranks), U64(64 - SKETCH_BITS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, sets, groups, parts, parities = [], [], [], [], []
+            sizes, sets, groups, parts, parities, wides = [], [], [], [], [], []
             for _, shingles in shingle_hashes(batch.column(1), WIDTH):
                 own = np.unique(shingles)
                 n = len(own)
@@ -91,13 +93,15 @@ def prefixes(docs: DataFrame, ranks: np.ndarray, percent: int) -> DataFrame:
                 sets.append(xxhash.xxh3_128_hexdigest(own.tobytes()))
                 groups.append(xxhash.xxh3_128_hexdigest(prefix.tobytes() + n.to_bytes(8, "little")))
                 parts.append(prefix)
-                odd = np.bincount((own & U64(PARITY_BITS - 1)).astype(np.int64), minlength=PARITY_BITS) & 1
-                parities.append(np.packbits(odd.astype(np.uint8)).view(np.int64))
+                bits = max(PARITY_BITS, 1 << (2 * n - 1).bit_length()) if n else PARITY_BITS
+                odd = np.bincount((own & U64(bits - 1)).astype(np.int64), minlength=bits) & 1
+                wides.append(np.packbits(odd.astype(np.uint8)).view(np.int64))
+                # halves of a bitmap put together are that of half the bits
+                parities.append(np.bitwise_xor.reduce(wides[-1].reshape(-1, PARITY_BITS // 64)))
             words = PARITY_BITS // 64
             parity = pa.ListArray.from_arrays(pa.array(np.arange(len(sizes) + 1) * words, pa.int32()), pa.array(np.concatenate([*parities, np.empty(0, np.int64)])))
-            offsets = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int32)
-            flat = np.concatenate([*parts, np.empty(0, U64)]).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(sets, pa.string()), pa.array(groups, pa.string()), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat)), parity], ["doc_id", "n", "set_key", "group_key", "prefix", "parity"])
+            lists = lambda rows: pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(r) for r in rows])]), pa.int32()), pa.array(np.concatenate([*rows, np.empty(0, rows[0].dtype if rows else np.int64)]).view(np.int64)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(sets, pa.string()), pa.array(groups, pa.string()), lists(parts), parity, lists(wides)], ["doc_id", "n", "set_key", "group_key", "prefix", "parity", "wide"])
         release()
 
     return docs.select("doc_id", "text").mapInArrow(run, PREFIXES)
@@ -119,15 +123,29 @@ def parities_allow(n1: Column, parity1: Column, n2: Column, parity2: Column, per
     return (100 + percent) * apart <= (100 - percent) * (n1 + n2)
 
 
+def plausible(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that the wide bitmaps of sets (id, n, wide) do not rule out; few others are left, however long the texts."""
+    pairs = pairs.select("a", "b").distinct().checkpoint()
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct().checkpoint()
+    known = sets.join(_sized(ids, F.lit(32)), "id")
+    side = lambda key: known.select(F.col("id").alias(key), F.col("n").alias(f"n_{key}"), F.col("wide").alias(f"wide_{key}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    # sets that can be similar enough differ by one doubling at most
+    least = F.least(F.size("wide_a"), F.size("wide_b"))
+    folded = lambda w: F.when(F.size(w) > least, F.zip_with(F.slice(w, F.lit(1), least), F.slice(w, least + 1, least), lambda x, y: x.bitwiseXOR(y))).otherwise(F.col(w))
+    near = 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
+    return both.where(near).where(parities_allow(F.col("n_a"), folded("wide_a"), F.col("n_b"), folded("wide_b"), percent)).select("a", "b").distinct()
+
+
 def _sized(df: DataFrame, row_bytes: Column) -> DataFrame:
     """df, to be broadcast if its rows have MAX_BROADCAST_BYTES at most."""
     total = df.agg(F.coalesce(F.sum(row_bytes), F.lit(0))).first()[0]
     return F.broadcast(df) if total <= MAX_BROADCAST_BYTES else df
 
 
-def verified(docs: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+def verified(docs: DataFrame, pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) of doc_ids whose exact sets are similar enough; about FAN of a's are compared in one place."""
-    pairs = pairs.select("a", "b").distinct()
+    pairs = plausible(pairs, sets, percent).checkpoint()
     partners = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("partners"))
     placed = pairs.join(partners, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.ceil(F.col("partners") / FAN)).cast("int").alias("salt")).checkpoint()
     ask = lambda doc, side: placed.select(F.col(doc).alias("doc_id"), F.struct("a", "salt", F.lit(side).alias("side")).alias("ask"))
@@ -178,8 +196,9 @@ def _labelled(rows: DataFrame, links: DataFrame | None, key: str) -> DataFrame:
     """rows with comp, the component of the document in key as far as links tell."""
     if links is None:
         return rows.withColumn("comp", F.col(key))
-    components = connected_components(links)
-    return rows.join(components.withColumnRenamed("node", key), key, "left").withColumn("comp", F.coalesce("component", key)).drop("component")
+    # only documents with links are in components; the lists stay where they are while those are few
+    components = _sized(connected_components(links).withColumnRenamed("node", key), F.lit(32))
+    return rows.join(components, key, "left").withColumn("comp", F.coalesce("component", key)).drop("component")
 
 
 def _stars(lists: DataFrame, seed: int, percent: int) -> DataFrame:
@@ -203,8 +222,8 @@ def _crossing(lists: DataFrame, sets: DataFrame, condition: Column, percent: int
     sets (id, parity) has the bitmaps; they stand in the join's condition, so pairs that they rule out are never rows.
     """
     # most lists lie within one component by now and go before anything else is counted
-    tokens = lists.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("token")
-    open_ = lists.join(tokens, "token")
+    tokens = lists.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("token").checkpoint()
+    open_ = lists.join(_sized(tokens, F.lit(32)), "token").checkpoint()
     counts = open_.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("k"))
     major = counts.groupBy("token").agg(F.max_by("comp", F.struct("k", "comp")).alias("major"))
     marked = open_.join(major, "token").withColumn("is_major", F.col("comp") == F.col("major")).drop("major").join(sets, "id")
@@ -224,8 +243,8 @@ def similar_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """
     docs = docs.select("doc_id", "text")
     base = stored(prefixes(docs, shingle_ranks(docs), percent), "prefixes")
-    classes = stored(base.where("n > 0").groupBy("set_key").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("group_key").alias("group_key"), F.first("parity").alias("parity")), "classes")
-    sets = classes.select("id", "parity")
+    classes = stored(base.where("n > 0").groupBy("set_key").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("group_key").alias("group_key"), F.first("parity").alias("parity"), F.first("wide").alias("wide")), "classes")
+    sets, wide = classes.select("id", "parity"), classes.select("id", "n", "wide")
     groups = classes.groupBy("group_key").agg(F.min("id").alias("group_id"), F.count(F.lit(1)).alias("members"))
     members = classes.join(groups.where("members > 1"), "group_key").select("group_id", "id", "n").checkpoint()
 
@@ -243,15 +262,15 @@ def similar_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     lists = stored(near.where(useful).select("token", "id", "n", "pos", F.sum("k").over(shared).alias("shared")), "lists")
 
     within = members.where("group_id <> id").select(F.col("group_id").alias("a"), F.col("id").alias("b"))
-    links = verified(docs, _stars(_labelled(lists, None, "id"), 1, percent).union(within), percent).checkpoint()
+    links = verified(docs, _stars(_labelled(lists, None, "id"), 1, percent).union(within), wide, percent).checkpoint()
     for seed in range(2, STARS + 1):
-        links = links.union(verified(docs, _stars(_labelled(lists, links, "id"), seed, percent), percent)).checkpoint()
+        links = links.union(verified(docs, _stars(_labelled(lists, links, "id"), seed, percent), wide, percent)).checkpoint()
 
     # what is still apart: all members of the groups of a list, and all members of a group
-    entries = lists.withColumnRenamed("id", "group_id").join(members.select("group_id", "id"), "group_id", "left").select("token", F.coalesce("id", "group_id").alias("id"), "n", "pos")
+    entries = lists.withColumnRenamed("id", "group_id").join(_sized(members.select("group_id", "id"), F.lit(32)), "group_id", "left").select("token", F.coalesce("id", "group_id").alias("id"), "n", "pos")
     apart = _crossing(_labelled(entries, links, "id"), sets, may_match(F.col("x.n"), F.col("x.pos"), F.col("y.n"), F.col("y.pos"), percent), percent)
     apart = apart.union(_crossing(_labelled(members.withColumnRenamed("group_id", "token").select("token", "id", "n"), links, "id"), sets, F.lit(True), percent))
-    links = links.union(verified(docs, apart, percent)).checkpoint()
+    links = links.union(verified(docs, apart, wide, percent)).checkpoint()
 
     relabel = classes.select("set_key", "id").join(connected_components(links).withColumnRenamed("node", "id"), "id", "left").select("set_key", F.coalesce("component", "id").alias("component_id"))
     return base.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("set_key")).alias("set_key")).join(relabel, "set_key", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
