@@ -34,7 +34,7 @@ SEGMENT = 1 << 15
 #: Items with up to this many shingles are their own class: windows of one shingle.
 TINY = 8
 
-FOUND = "doc_id bigint, item_id bigint, item_shingles bigint, shared_shingles bigint, containment double"
+FOUND = "doc_id bigint, key string, item_shingles bigint, shared_shingles bigint, containment double"
 
 
 class ItemIndex:
@@ -103,13 +103,21 @@ class ItemIndex:
         return out
 
 
+def keyed(items: DataFrame) -> DataFrame:
+    """item_id, key and text of the items that have a text; equal texts have one key."""
+    return items.where("text IS NOT NULL").select("item_id", F.md5(F.encode("text", "UTF-8")).alias("key"), "text")
+
+
 def item_blocks(items: DataFrame) -> Iterator[Broadcast]:
-    """Broadcast indexes of items (item_id, text), in blocks of a bounded size, one after another."""
-    items = items.select("item_id", "text")
-    n, size = items.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    """Broadcast indexes of the different texts of items (item_id, text), by key, in blocks of a bounded size, one after another.
+
+    Texts are dealt to blocks by their key, so that each has about its share; a text is in one block only.
+    """
+    texts = keyed(items).select("key", "text").distinct()
+    n, size = texts.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
     blocks = max(1, -(-n // BLOCK_ITEMS), -(-size // BLOCK_BYTES))
     for block in range(blocks):
-        rows = (items if blocks == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block)).collect()
+        rows = (texts if blocks == 1 else texts.where(F.pmod(F.xxhash64("key"), F.lit(blocks)) == block)).collect()
         yield items.sparkSession.sparkContext.broadcast(ItemIndex([r[0] for r in rows], [r[1] for r in rows]))
 
 
@@ -132,12 +140,15 @@ def find_items(docs: DataFrame, items: DataFrame, percent: int = PERCENT) -> Dat
                     for i, shared in known.contained(shingles, percent):
                         rows.append((doc_ids[row].as_py(), known.ids[i], len(known.sets[i]), shared, shared / len(known.sets[i])))
                 cols = list(zip(*rows, strict=True)) if rows else [()] * 5
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.float64() if k == 4 else pa.int64()) for k, c in enumerate(cols)], [c.split()[0] for c in FOUND.split(", ")])
+                types = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.float64()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], ["doc_id", "key", "item_shingles", "shared_shingles", "containment"])
             release()
 
         return docs.mapInArrow(run, FOUND)
 
-    return reduce(DataFrame.unionByName, map(passed, item_blocks(items)))
+    found = reduce(DataFrame.unionByName, map(passed, item_blocks(items)))
+    # a text that several items have is searched once
+    return found.join(keyed(items).select("key", "item_id"), "key").select("doc_id", "item_id", "item_shingles", "shared_shingles", "containment")
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, percent: int = PERCENT) -> DataFrame:
