@@ -70,7 +70,15 @@ def markdown_text(text: Column) -> Column:
 
 
 def page_selection(spec: Column, total: Column) -> Column:
-    """Page numbers of a selector like 1-3,7 that lie within total, distinct and in order."""
+    """Page numbers of a selector like 1-3,7 that lie within total, distinct and in order; "all" and an empty selector take every page."""
     part = lambda p: F.sequence(F.split_part(p, F.lit("-"), F.lit(1)).cast("int"), F.when(p.contains("-"), F.split_part(p, F.lit("-"), F.lit(2)).cast("int")).otherwise(p.cast("int")))
-    pages = F.flatten(F.transform(F.split(F.regexp_replace(spec, " ", ""), ","), part))
-    return F.array_sort(F.array_distinct(F.filter(pages, lambda p: (p >= 1) & (p <= total))))
+    bare = F.lower(F.regexp_replace(spec, " ", ""))
+    every = F.when(total > 0, F.sequence(F.lit(1), total)).otherwise(F.array().cast("array<int>"))
+    listed = F.when(~bare.isin("all", ""), bare)
+    pages = F.flatten(F.transform(F.split(listed, ","), part))
+    return F.coalesce(F.array_sort(F.array_distinct(F.filter(pages, lambda p: (p >= 1) & (p <= total)))), every)
+
+
+def shown(value: Column, digits: int = 4) -> Column:
+    """A value as reports show it: rounded, 0 for none. Statistics must not be made of it."""
+    return F.round(F.coalesce(value, F.lit(0.0)), digits)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .quantiles import medians
 from .ranks import running
 
 
@@ -41,7 +42,9 @@ def change_point(runs: DataFrame, least_segment: int = 3) -> DataFrame:
 def baseline(runs: DataFrame, least_runs: int = 5, relative: float = 0.2) -> DataFrame:
     """The latest run of each engine against the mean and median of all earlier ones."""
     last = runs.where("cer IS NOT NULL").groupBy("engine").agg(F.max(F.struct("ts", "run_id", "cer")).alias("last"))
-    past = runs.join(F.broadcast(last), "engine").where(F.struct("ts", "run_id") < F.struct("last.ts", "last.run_id")).groupBy("engine").agg(F.avg("cer").alias("mean_cer"), F.percentile("cer", 0.5).alias("median_cer"), F.count("cer").alias("runs"), F.max("last.cer").alias("latest")).where(F.col("runs") >= least_runs)
+    earlier = runs.join(last, "engine").where(F.struct("ts", "run_id") < F.struct("last.ts", "last.run_id"))
+    past = earlier.groupBy("engine").agg(F.avg("cer").alias("mean_cer"), F.count("cer").alias("runs"), F.max("last.cer").alias("latest")).where(F.col("runs") >= least_runs)
+    past = past.join(medians(earlier, "cer", "engine").withColumnRenamed("median", "median_cer"), "engine")
     change = F.try_divide(F.col("latest") - F.col("mean_cer"), F.col("mean_cer"))
     return past.select("engine", "runs", "mean_cer", "median_cer", "latest", change.alias("relative_delta"), (F.abs(change) > relative).alias("off_baseline"))
 

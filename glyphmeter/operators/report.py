@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .quantiles import beside, medians
 from .ranks import running
 
 
@@ -13,28 +14,34 @@ def micro_cer() -> Column:
     return F.try_divide(F.sum("errors"), F.sum("ref_chars"))
 
 
-def aggregate(metrics: DataFrame, *keys: str) -> DataFrame:
-    """Per key: micro, mean, exact median, min, max and sample deviation (0 for one document) of the CER, and counts."""
-    return metrics.groupBy(*keys).agg(
-        micro_cer().alias("micro_cer"), F.avg("cer").alias("mean_cer"), F.percentile("cer", 0.5).alias("median_cer"), F.min("cer").alias("min_cer"), F.max("cer").alias("max_cer"),
+def aggregate(metrics: DataFrame, *keys: str, median: bool = True) -> DataFrame:
+    """Per key: micro, mean, exact median (if asked for), min, max and sample deviation (0 for one document) of the CER, and counts."""
+    rows = metrics.groupBy(*keys).agg(
+        micro_cer().alias("micro_cer"), F.avg("cer").alias("mean_cer"), F.min("cer").alias("min_cer"), F.max("cer").alias("max_cer"),
         F.coalesce(F.stddev_samp("cer"), F.when(F.count("cer") > 0, 0.0)).alias("stdev_cer"), F.count(F.lit(1)).alias("documents"), F.count_if(F.col("cer").isNull()).alias("without_cer"),
     )
+    if not median:
+        return rows
+    both = beside(rows, medians(metrics, "cer", *keys), *keys, how="left")
+    return both.select(*keys, "micro_cer", "mean_cer", F.col("median").alias("median_cer"), "min_cer", "max_cer", "stdev_cer", "documents", "without_cer")
 
 
-def representative() -> Column:
-    return F.coalesce("micro_cer", "median_cer", "mean_cer")
+def representative(report: DataFrame) -> Column:
+    """Of micro, median and mean CER the first that a report has."""
+    return F.coalesce(*[c for c in ("micro_cer", "median_cer", "mean_cer") if c in report.columns])
 
 
 def ranked(report: DataFrame, *within: str) -> DataFrame:
     """position from 1 by representative CER, engines without one last; ties by name."""
-    w = Window.partitionBy(*within).orderBy(representative().asc_nulls_last(), "engine")
+    w = Window.partitionBy(*within).orderBy(representative(report).asc_nulls_last(), "engine")
     return report.withColumn("position", F.row_number().over(w))
 
 
 def homogeneity(metrics: DataFrame) -> DataFrame:
     """The leader's spread of representative CER over strata: leader, best and worst stratum, gap."""
     leader = ranked(aggregate(metrics, "engine")).where("position = 1").select("engine")
-    strata = aggregate(metrics.join(F.broadcast(leader), "engine"), "engine", "stratum").withColumn("r", representative())
+    strata = aggregate(metrics.join(F.broadcast(leader), "engine"), "engine", "stratum")
+    strata = strata.withColumn("r", representative(strata))
     return strata.groupBy(F.col("engine").alias("leader")).agg(
         F.count(F.lit(1)).alias("strata"), F.min_by("stratum", F.struct("r", "stratum")).alias("best_stratum"),
         F.max_by("stratum", F.struct("r", "stratum")).alias("worst_stratum"), (F.max("r") - F.min("r")).alias("gap"),

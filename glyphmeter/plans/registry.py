@@ -23,5 +23,5 @@ def register(oracle: str | None = None):
 
 
 def load_all() -> None:
-    for name in ("reports", "tokens", "statistics", "alignment", "documents", "formats", "whole", "errors", "philology", "rules", "runs", "normalised"):
+    for name in ("reports", "tokens", "statistics", "alignment", "documents", "corpus", "formats", "whole", "errors", "philology", "rules", "runs", "normalised"):
         importlib.import_module(f"{__package__}.{name}")

@@ -24,7 +24,7 @@ _COLUMNS = [*derived.ENGINES, "ref_chars"]
 SELECT engine, micro_cer, documents, CAST(row_number() OVER (ORDER BY micro_cer NULLS LAST, engine) AS INTEGER) AS position FROM a""")
 def ranking_micro_cer(spark, sf_dir):
     """Engines by micro-averaged character error rate."""
-    return report.ranked(report.aggregate(derived.doc_metrics(spark, sf_dir), "engine")).select("engine", "micro_cer", "documents", "position")
+    return report.ranked(report.aggregate(derived.doc_metrics(spark, sf_dir), "engine", median=False)).select("engine", "micro_cer", "documents", "position")
 
 
 @register(f"WITH {METRICS_SQL} SELECT engine, {_AGG} FROM m GROUP BY engine")
@@ -35,7 +35,7 @@ def engine_aggregate_stats(spark, sf_dir):
 @register(f"""WITH {METRICS_SQL}, a AS (SELECT stratum, engine, {_AGG} FROM m GROUP BY stratum, engine)
 SELECT stratum, engine, micro_cer, mean_cer, documents, CAST(row_number() OVER (PARTITION BY stratum ORDER BY micro_cer NULLS LAST, engine) AS INTEGER) AS position FROM a""")
 def stratified_ranking(spark, sf_dir):
-    return report.ranked(report.aggregate(derived.doc_metrics(spark, sf_dir), "stratum", "engine"), "stratum").select("stratum", "engine", "micro_cer", "mean_cer", "documents", "position")
+    return report.ranked(report.aggregate(derived.doc_metrics(spark, sf_dir), "stratum", "engine", median=False), "stratum").select("stratum", "engine", "micro_cer", "mean_cer", "documents", "position")
 
 
 @register(f"""WITH {METRICS_SQL}, a AS (SELECT engine, stratum, CAST(sum(errors) AS DOUBLE) / sum(ref_chars) AS r FROM m GROUP BY GROUPING SETS ((engine), (engine, stratum))),

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..functions.order import region_order
 from ..operators import history, report, stats
 from ..sources import derived
 from ..sources.derived import METRICS_SQL
@@ -195,11 +196,24 @@ p AS (SELECT a.conv_id, count(*) AS pairs, count(*) FILTER (WHERE a.place < b.pl
 SELECT conv_id, pairs, CAST(kept AS DOUBLE) / pairs AS order_f1 FROM p""")
 def reading_order_f1(spark, sf_dir):
     """Share of ordered pairs of regions (here turns) that a predicted order (here by length) keeps; both orders hold the same regions."""
-    c = derived.load(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", F.length(F.coalesce("text", F.lit(""))).alias("n")))).alias("t"))
-    before = lambda a, b: (a.n < b.n) | ((a.n == b.n) & (a.turn < b.turn))
-    kept = F.aggregate(F.transform("t", lambda a: F.size(F.filter("t", lambda b: (a.turn < b.turn) & before(a, b)))), F.lit(0), lambda s, x: s + x)
-    pairs = F.aggregate(F.transform("t", lambda a: F.size(F.filter("t", lambda b: a.turn < b.turn))), F.lit(0), lambda s, x: s + x)
-    return c.select("conv_id", pairs.cast("bigint").alias("pairs"), kept.alias("kept")).where("pairs > 0").select("conv_id", "pairs", (F.col("kept") / F.col("pairs")).alias("order_f1"))
+    n = F.length(F.coalesce("text", F.lit("")))
+    turns = derived.load(spark, sf_dir, "conversations").groupBy("conv_id").agg(*[F.transform(F.array_sort(F.collect_list(F.struct(*by))), lambda t: t.turn).alias(a) for a, by in (("ref", ["turn"]), ("hyp", [n.alias("n"), "turn"]))])
+    counts = turns.select("conv_id", region_order("ref", "hyp").alias("o")).where("o.ref_pairs > 0")
+    return counts.select("conv_id", F.col("o.ref_pairs").alias("pairs"), (F.col("o.common") / F.col("o.ref_pairs")).alias("order_f1"))
+
+
+@register("""WITH c AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY length(coalesce(text, '')), turn) AS place FROM conversations WHERE turn % 5 <> 3),
+n AS (SELECT conv_id, count(*) AS n, count(*) FILTER (turn % 5 <> 3) AS m FROM conversations GROUP BY conv_id),
+p AS (SELECT a.conv_id, count(*) FILTER (WHERE a.place < b.place) AS common FROM c a JOIN c b ON a.conv_id = b.conv_id AND a.turn < b.turn GROUP BY a.conv_id),
+s AS (SELECT conv_id, n * (n - 1) // 2 AS ref_pairs, (m + 1) * m // 2 AS hyp_pairs, coalesce(common, 0) AS common FROM n LEFT JOIN p USING (conv_id))
+SELECT conv_id, ref_pairs, hyp_pairs, common, CASE WHEN ref_pairs + hyp_pairs > 0 THEN 2.0 * common / (ref_pairs + hyp_pairs) ELSE 1.0 END AS f1 FROM s""")
+def region_order_scores(spark, sf_dir):
+    """F1 of ordered pairs where a predicted order (by length) misses some regions (turns) and has one that is none."""
+    n = F.length(F.coalesce("text", F.lit("")))
+    seen = F.when(F.col("turn") % 5 != 3, F.struct(n.alias("n"), "turn"))
+    turns = derived.load(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list("turn")).alias("ref"), F.concat(F.transform(F.array_sort(F.collect_list(seen)), lambda t: t.turn), F.array(F.lit(-1))).alias("hyp"))
+    counts = turns.select("conv_id", region_order("ref", "hyp").alias("o")).select("conv_id", "o.*")
+    return counts.withColumn("f1", F.coalesce(F.try_divide(2.0 * F.col("common"), F.col("ref_pairs") + F.col("hyp_pairs")), F.lit(1.0)))
 
 
 @register(f"""WITH {METRICS_SQL}, e AS (SELECT engine, avg(cer) AS mean_cer, quantile_cont(cer, 0.5) AS median_cer FROM m GROUP BY engine), r AS (SELECT *, row_number() OVER (ORDER BY mean_cer, engine) AS k FROM e),
@@ -212,7 +226,7 @@ SELECT * FROM f ORDER BY importance DESC, fact, engine, stratum LIMIT 5""")
 def facts_top5(spark, sf_dir):
     """The five weightiest findings of the rules: leader, skewed engines, winners and collapses by stratum."""
     m = derived.doc_metrics(spark, sf_dir).select("engine", "stratum", "cer").groupBy("engine", "stratum").agg(F.avg("cer").alias("cer"), F.count(F.lit(1)).alias("n"))
-    e = derived.doc_metrics(spark, sf_dir).groupBy("engine").agg(F.avg("cer").alias("mean_cer"), F.percentile("cer", 0.5).alias("median_cer"))
+    e = report.aggregate(derived.doc_metrics(spark, sf_dir), "engine").select("engine", "mean_cer", "median_cer")
     fact = lambda df, name, importance, stratum, value: df.select(F.lit(name).alias("fact"), importance.alias("importance"), "engine", stratum.alias("stratum"), value.alias("value"))
     gap = F.abs(F.col("mean_cer") - F.col("median_cer")) / F.col("median_cer")
     leader = fact(e.orderBy("mean_cer", "engine").limit(1), "global_leader", F.lit(3), F.lit(""), F.col("mean_cer"))

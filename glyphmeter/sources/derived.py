@@ -133,16 +133,17 @@ def doc_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept(spark, sf_dir, "doc_metrics", METRICS, summed)
 
 
-def _split_joined(gt: Column, glue: Callable) -> Column:
-    lines_ = F.split(gt, "\n")
-    return F.array_join(F.transform(lines_, lambda x, i: F.concat(x, F.when(i == F.size(lines_) - 1, "").otherwise(glue(i)))), "")
+def _joined(gt: Column, glue: Callable) -> Column:
+    """The lines of a text with other signs than line ends after them, each of one character; none after the last."""
+    joined = F.array_join(F.transform(F.split(gt, "\n"), lambda x, i: F.concat(x, glue(i))), "")
+    return F.substr(joined, F.lit(1), F.length(joined) - 1)
 
 
 #: Engines that change the number of lines, on texts as they are: some lose lines, some add them, some join two.
 SHIFTED = {
     "loses_lines": lambda gt: F.translate(F.array_join(F.filter(F.split(gt, "\n"), lambda x, i: i % 4 != 1), "\n"), "e", "c"),
     "adds_lines": lambda gt: F.array_join(F.flatten(F.transform(F.split(gt, "\n"), lambda x, i: F.when(i % 5 == 2, F.array(F.lit("folio recto"), x)).otherwise(F.array(x)))), "\n"),
-    "joins_lines": lambda gt: F.translate(_split_joined(gt, lambda i: F.when(i % 3 == 0, " ").otherwise("\n")), "u", ""),
+    "joins_lines": lambda gt: F.translate(_joined(gt, lambda i: F.when(i % 3 == 0, " ").otherwise("\n")), "u", ""),
     "e_as_c": ENGINES["e_as_c"],
 }
 
