@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-from functools import reduce
-from operator import and_
-
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import report
+from ..operators.quantiles import beside
 from ..sources import derived
 from ..sources.derived import LINES_SQL, METRICS_SQL
 from .registry import register
@@ -59,12 +57,9 @@ def worst_lines_topk(spark, sf_dir):
     worst = derived.line_metrics(spark, sf_dir).where("ref_chars > 0 AND errors > 0").withColumn("line_cer", F.least(F.lit(1.0), F.col("errors") / F.col("ref_chars")))
     worst = worst.select("engine", "doc_id", "line", "texts", "line_cer").orderBy(F.desc("line_cer"), "engine", "doc_id", "line").limit(25)
     # the texts of 25 lines, from the documents they are in
-    alike = lambda a, b, *names: reduce(and_, (a[n].eqNullSafe(b[n]) for n in names))
-    pairs, ids = derived.outputs(spark, sf_dir), F.broadcast(worst.select("engine", "doc_id").distinct())
-    pairs = pairs.join(ids, alike(pairs, ids, "engine", "doc_id"), "left_semi")
+    pairs = beside(derived.outputs(spark, sf_dir), F.broadcast(worst.select("engine", "doc_id").distinct()), "engine", "doc_id", how="left_semi")
     texts = derived.split_lines(pairs).withColumn("texts", F.xxhash64("gt_line", "hyp_line")).select("engine", "doc_id", "line", "texts", "gt_line", "hyp_line").distinct()
-    worst = F.broadcast(worst)
-    return texts.join(worst, alike(texts, worst, "engine", "doc_id", "line", "texts")).select(worst["engine"], worst["doc_id"], worst["line"], "gt_line", "hyp_line", "line_cer")
+    return beside(texts, F.broadcast(worst), "engine", "doc_id", "line", "texts").drop("texts")
 
 
 @register(f"""WITH {METRICS_SQL},
