@@ -1,11 +1,14 @@
 """The queries on outputs over texts as they are, with all their characters: NAME_whole beside NAME under the ASCII profile.
 
-The SQL is that of NAME without the mask. Where DuckDB cannot give the same rows, as its levenshtein counts bytes and its
-word boundaries are ASCII, there is none.
+The SQL is that of NAME without the mask. DuckDB's levenshtein counts bytes, so it is given the texts with a control
+character for each character beyond ASCII, of which the tables have fewer. Its word boundaries are ASCII: queries that
+need others have no SQL.
 """
 
 from __future__ import annotations
 
+import re
+
 from ..operators.tokens import LOOKS
 from ..sources import derived
 from .registry import ORACLES, QUERIES, register
@@ -16,9 +19,19 @@ _NO_SQL = ("word_error_rates", "document_word_error_rates", "confusion_matrix",
 _SPARK_ONLY = ("year_preservation", "distinct_year_recall", "capitalised_preservation", "roman_numerals", "flesch_delta")
 
 
+#: The characters of the documents beyond ASCII, in either case, and as many control characters that no text has.
+_BEYOND = r"(SELECT coalesce(string_agg(c, '' ORDER BY c), '') FROM (SELECT DISTINCT unnest(regexp_extract_all(text || lower(text), '[^\x00-\x7F]')) AS c FROM documents))"
+_CONTROL = "array_to_string(list_transform(list_concat(range(1, 9), range(14, 32)), lambda x: chr(CAST(x AS INTEGER))), '')"
+
+
+def _bytewise(sql: str) -> str:
+    single = lambda x: f"translate({x}, {_BEYOND}, {_CONTROL})"
+    return re.sub(r"levenshtein\((\w+(?:\[i\])?), (\w+(?:\[i\])?)\)", lambda m: f"levenshtein({single(m[1])}, {single(m[2])})", sql)
+
+
 def _sql(name: str) -> str | None:
-    sql = ORACLES.get(name, "")
-    if name in _SPARK_ONLY or "levenshtein" in sql:
+    sql = _bytewise(ORACLES.get(name, ""))
+    if name in _SPARK_ONLY:
         return None
     for masked, whole in zip(*LOOKS.values(), strict=True):
         sql = sql.replace(f"regexp_matches(token, '{masked}')", f"regexp_matches(token, '{whole}')")
