@@ -111,7 +111,9 @@ SELECT engine, CAST(sum(g) AS BIGINT) AS wanted, CAST(sum(least(g, h)) AS BIGINT
 _sequences("year_preservation", r"\b(?:1[0-9]{3}|20[0-2][0-9])\b", r"(?U)\b(?:1[0-9]{3}|20[0-2][0-9])\b", "Years of the ground truth that the output keeps, as multisets.")
 
 
-@register()
+@register(rf"""WITH {OUTPUTS_SQL}, y AS (SELECT engine, doc_id, regexp_extract_all(gt, '\b(?:1[0-9]{{3}}|20[0-2][0-9])\b') AS g, regexp_extract_all(hyp, '\b(?:1[0-9]{{3}}|20[0-2][0-9])\b') AS h FROM outputs),
+k AS (SELECT engine, doc_id, len(g) AS wanted, CAST(list_sum(list_transform(list_distinct(g), lambda y: least(len(list_filter(g, lambda x: x = y)), len(list_filter(h, lambda x: x = y))))) AS BIGINT) AS kept FROM y WHERE len(g) > 0)
+SELECT engine, doc_id, wanted, kept, kept / wanted AS recall FROM k""")
 def document_year_preservation(spark, sf_dir):
     """Years of each text that its output keeps, as multisets, and their share; of texts without a year there is none."""
     years = derived.outputs(spark, sf_dir).select("engine", "doc_id", *[T.matches(F.col(c), ("(?U)" if derived.is_as_written() else "") + r"\b(?:1[0-9]{3}|20[0-2][0-9])\b").alias(a) for c, a in (("gt", "g"), ("hyp", "h"))]).where("size(g) > 0")
