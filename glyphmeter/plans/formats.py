@@ -92,6 +92,12 @@ def bootstrap_intervals(spark, sf_dir):
     return bootstrap.intervals(derived.doc_metrics(spark, sf_dir).where("cer IS NOT NULL"), "engine", "doc_id", "cer")
 
 
+@register()
+def multinomial_intervals(spark, sf_dir):
+    """The same from resamples of exactly as many documents as there are."""
+    return bootstrap.multinomial_intervals(derived.doc_metrics(spark, sf_dir), "engine", "doc_id", "cer")
+
+
 @register("SELECT user_id AS job_id, count(*) AS events, max(event_id) AS last_seq, arg_max(event_type, event_id) AS last_kind, count(*) FILTER (event_type = 'error') AS errors FROM events GROUP BY user_id")
 def job_progress_stream(spark, sf_dir):
     return jobs.drain(jobs.progress(jobs.event_stream(spark, f"{sf_dir}/events*.parquet")), "progress", "job_id")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from glyphmeter.functions import order
 from glyphmeter.functions import text as T
-from glyphmeter.operators import documents, lookup, quantiles, views
+from glyphmeter.operators import bootstrap, documents, lookup, quantiles, views
 from glyphmeter.plans import registry
 from glyphmeter.sources import derived, outputs
 
@@ -101,3 +101,27 @@ def test_fuzzy_view_and_history_lines(spark):
     for r in registry.QUERIES["history_json"](spark, SF_DIR).take(5):
         line = json.loads(r.json)
         assert list(line) == sorted(line) and line["engine"] == r.engine
+
+
+def test_resamples_draw_exactly_as_many_in_any_partitions(spark, monkeypatch):
+    rng = random.Random(4)
+    rows = [("a", k, rng.gauss(5, 2)) for k in range(700)] + [("b", k, 1.0 + k) for k in range(90)] + [("b", 5, None), ("one", 1, 3.0)]
+    docs = spark.createDataFrame(rows, "e string, doc bigint, x double")
+    for leaf in (4096, 50):
+        monkeypatch.setattr(bootstrap, "LEAF_UNITS", leaf)
+        sums = [sorted(map(tuple, bootstrap.resampled_sums(docs.repartition(n), "e", "doc", "x", 300).collect())) for n in (1, 7)]
+        assert sums[0] == sums[1] and len(sums[0]) == 900
+        assert {(e, n) for e, _, _, n in sums[0]} == {("a", 700), ("b", 90), ("one", 1)}
+        means = np.array([t / n for e, _, t, n in sums[0] if e == "a"])
+        values = np.array([x for e, _, x in rows if e == "a"])
+        assert abs(means.mean() - values.mean()) < 0.03 and means.std() == pytest.approx(values.std() / 700**0.5, rel=0.15)
+        assert all(t == 3.0 for e, _, t, _ in sums[0] if e == "one")
+
+
+def test_intervals_cover_the_mean(spark, monkeypatch):
+    monkeypatch.setattr(bootstrap, "LEAF_UNITS", 40)
+    chance = np.random.default_rng(1)
+    rows = [(f"e{k}", i, float(x)) for k in range(120) for i, x in enumerate(chance.exponential(1.0, 150))]
+    found = bootstrap.multinomial_intervals(spark.createDataFrame(rows, "e string, doc bigint, x double"), "e", "doc", "x", 200).collect()
+    assert len(found) == 120 and all(r.units == 150 and r.low < r.mean < r.high for r in found)
+    assert 0.87 <= sum(r.low <= 1.0 <= r.high for r in found) / 120 <= 1.0
