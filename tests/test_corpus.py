@@ -14,6 +14,7 @@ from glyphmeter.functions import text as T
 from glyphmeter.operators import bootstrap, documents, lookup, quantiles, views
 from glyphmeter.plans import registry
 from glyphmeter.sources import derived, outputs
+from glyphmeter.streaming import jobs, log
 
 SF_DIR = "/root/testdata/sf0.001"
 registry.load_all()
@@ -125,3 +126,22 @@ def test_intervals_cover_the_mean(spark, monkeypatch):
     found = bootstrap.multinomial_intervals(spark.createDataFrame(rows, "e string, doc bigint, x double"), "e", "doc", "x", 200).collect()
     assert len(found) == 120 and all(r.units == 150 and r.low < r.mean < r.high for r in found)
     assert 0.87 <= sum(r.low <= 1.0 <= r.high for r in found) / 120 <= 1.0
+
+
+def test_job_log_is_the_same_in_any_order_and_cutting(spark, tmp_path):
+    rng = random.Random(2)
+    states = ["pending", "running", "complete", "error"]
+    rows = [(j, s, rng.choice(states), f"2024-01-{1 + s:02d}") for j in range(12) for s in range(1, 1 + rng.randrange(1, 20))]
+    before = {(j, s): x for j, s, x, _ in rows}
+    wanted = sorted((j, s, x, before.get((j, s - 1), ""), log.is_allowed(before.get((j, s - 1), ""), x)) for j, s, x, _ in rows)
+    assert any(w[-1] for w in wanted) and not all(w[-1] for w in wanted)
+    for cut in (1, 4):
+        mixed = rows + rng.sample(rows, 20) + [(None, 1, "pending", None), (1, None, "pending", None)]
+        rng.shuffle(mixed)
+        folder = str(tmp_path / f"log{cut}")
+        for k in range(6):
+            spark.createDataFrame(mixed[k::6], "job_id bigint, seq bigint, state string, day string").selectExpr("job_id", "seq", "state", "CAST(day AS timestamp) AS ts").coalesce(1).write.mode("append").parquet(folder)
+        stream = spark.readStream.schema("job_id bigint, seq bigint, state string, ts timestamp").option("maxFilesPerTrigger", cut).parquet(folder)
+        entries = jobs.drain(log.in_order(stream), f"test-log-{cut}")
+        assert sorted((r.job_id, r.seq, r.state, r.before, r.allowed) for r in entries.collect()) == wanted
+        assert all(r.ts.day == 1 + r.seq for r in entries.collect())
