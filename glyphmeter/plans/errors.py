@@ -103,13 +103,27 @@ def document_fuzzy_recall(spark, sf_dir):
     return _fuzzy(spark, sf_dir).select("engine", "doc_id", "words", "found", F.try_divide("found", "words").alias("recall"), F.array_join("missed", " ").alias("missed"))
 
 
-@register()
+_TRIPLES = "CASE WHEN len({0}) >= 3 THEN list_transform(range(1, len({0}) - 1), lambda i: {0}[i] || ' ' || {0}[i + 1] || ' ' || {0}[i + 2]) WHEN len({0}) > 0 THEN [array_to_string({0}, ' ')] ELSE [] END"
+_WORDS = r"list_filter(string_split_regex(lower({0}), '\s+'), lambda x: x <> '')"
+_BARE = r"length(regexp_replace({0}, '^\s+|\s+$', '', 'g'))"
+_INVENTED_SQL = f"""WITH {derived.OUTPUTS_SQL.replace(derived.MASKED_SQL, derived.WHOLE_SQL)},
+w AS (SELECT engine, doc_id, {_WORDS.format("gt")} AS g, {_WORDS.format("hyp")} AS h, {_BARE.format("gt")} AS a, {_BARE.format("hyp")} AS b FROM outputs),
+t AS (SELECT *, list_distinct(g) AS known, list_distinct({_TRIPLES.format("g")}) AS own, {_TRIPLES.format("h")} AS triples FROM w),
+p AS MATERIALIZED (SELECT *, list_filter(range(1, len(h) + 1), lambda i: NOT list_contains(known, h[i])) AS pos, len(list_filter(triples, lambda x: list_contains(own, x))) AS held FROM t),
+e AS (SELECT *, list_filter(range(1, len(pos) + 1), lambda i: i = 1 OR pos[i] - pos[i - 1] > 3) AS s, list_filter(range(1, len(pos) + 1), lambda i: i = len(pos) OR pos[i + 1] - pos[i] > 3) AS l FROM p),
+k AS (SELECT *, list_filter([CASE WHEN i = len(s) AND len(h) - pos[l[i]] < 3 THEN len(h) ELSE pos[l[i]] END - pos[s[i]] + 1 for i in range(1, len(s) + 1)], lambda n: n >= 4) AS runs FROM e),
+d AS (SELECT engine, doc_id, len(g) AS gt_words, len(h) AS hyp_words, len(pos) AS unknown, CASE WHEN len(h) > 0 THEN len(pos) / len(h) ELSE 0.0 END AS net_insertion,
+  CASE WHEN len(triples) > 0 AND len(own) > 0 THEN held / len(triples) WHEN len(triples) = 0 AND len(own) = 0 THEN 1.0 ELSE 0.0 END AS anchor,
+  least(9.99, CASE WHEN a > 0 THEN b / a WHEN b > 0 THEN 9.99 ELSE 1.0 END) AS length_ratio, len(runs) AS blocks, CAST(coalesce(list_sum(runs), 0) AS BIGINT) AS block_words FROM k)"""
+
+
+@register(f"{_INVENTED_SQL} SELECT *, anchor < 0.5 OR length_ratio > 1.2 AS flagged FROM d")
 def hallucination_documents(spark, sf_dir):
     """Invented text in every output, empty ones and outputs of empty texts included."""
     return errors.hallucination(derived.as_written(derived.outputs, "outputs")(spark, sf_dir))
 
 
-@register()
+@register(f"""{_INVENTED_SQL} SELECT engine, avg(net_insertion) AS net_insertion, avg(anchor) AS anchor, avg(length_ratio) AS length_ratio, min(anchor) AS min_anchor, avg(CAST(anchor < 0.5 OR length_ratio > 1.2 AS INTEGER)) AS flagged, CAST(sum(blocks) AS BIGINT) AS blocks, count(*) AS documents FROM d GROUP BY engine""")
 def hallucination_report(spark, sf_dir):
     return errors.hallucination_report(hallucination_documents(spark, sf_dir))
 
