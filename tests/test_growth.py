@@ -35,3 +35,55 @@ def test_words_go_back_in_bounded_batches(monkeypatch):
 def test_words_are_not_shuffled(spark, name):
     plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert not re.search(r"hashpartitioning\([^\n]*(token|doc_id|\bt)#", plan)
+
+
+def _plain_distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        new = [i]
+        for j, y in enumerate(b, 1):
+            new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+        row = new
+    return row[-1]
+
+
+@pytest.mark.parametrize("few", [1, 24])
+def test_distances_of_batches_are_those_of_the_table(monkeypatch, few):
+    rng = random.Random(few)
+    monkeypatch.setattr(distance, "FEW_PAIRS", few)
+    monkeypatch.setattr(distance, "SIGNS_AT_ONCE", 5_000)
+    left = ["".join(rng.choice("abcdef gé\U0001f600"[: rng.choice([2, 9])]) for _ in range(rng.choice([0, 1, 5, 30, 90]))) for _ in range(300)]
+    right = ["".join(_noisy(rng, x, rng.choice([0, 0.1, 0.6]))) if k % 9 else "zzz" for k, x in enumerate(left)]
+    assert distance.distances(left, right).tolist() == [_plain_distance(x, y) for x, y in zip(left, right, strict=True)]
+
+
+def test_lines_with_few_errors_need_no_table_of_their_own(monkeypatch):
+    monkeypatch.setattr(distance, "levenshtein", None)
+    lines = [f"the quick brown fox {k} jumps over the lazy dog and returns in the evening" for k in range(100)]
+    for change in (lambda x: x.replace("e", "c"), lambda x: x.replace("u", ""), lambda x: x + " et", lambda x: x.replace("rn", "m").replace("th", "h")):
+        assert (distance.distances(lines, [change(x) for x in lines]) > 0).all()
+
+
+def test_scripts_that_reading_tells_are_those_of_the_table(monkeypatch):
+    rng, known = random.Random(4), []
+    for _ in range(400):
+        a = [rng.choice("abcdefghijkl") for _ in range(rng.randrange(1, 25))]
+        known.append((a, rng.choice([[x for x in a if rng.random() < 0.8], [x if rng.random() < 0.8 else x.upper() for x in a], _noisy(rng, a, 0.3), list("abcabcabc")])))
+    quick = [align.script(a, b) for a, b in known]
+    counts = [align.operation_counts(a, b) for a, b in known]
+    monkeypatch.setattr(align, "NARROW", 0)
+    monkeypatch.setattr(align, "_plainly", lambda a, b: None)
+    assert quick == [align.script(a, b) for a, b in known]
+    for pairs, (a, b), found in zip(quick, known, counts, strict=True):
+        hits = sum(i >= 0 and j >= 0 and a[i] == b[j] for i, j in pairs)
+        assert found == (hits, sum(i >= 0 and j >= 0 for i, j in pairs) - hits, sum(j < 0 for _, j in pairs), sum(i < 0 for i, _ in pairs))
+    monkeypatch.undo()
+    monkeypatch.setattr(align, "_rows", None)
+    words = "a b c d e f g h".split()
+    assert align.script(words, ["A" if w == "c" else w for w in words]) == [(k, k) for k in range(8)]
+
+
+def test_documents_are_dealt_to_more_tasks_the_more_there_are(spark, monkeypatch):
+    monkeypatch.setattr(derived, "ROWS_A_TASK", 5)
+    rows = derived.load(spark, "/root/testdata/sf0.001", "documents")
+    assert derived.spread(rows).rdd.getNumPartitions() >= rows.count() // 5
