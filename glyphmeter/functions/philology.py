@@ -81,7 +81,8 @@ def mark_pattern(mark: str) -> str:
 
 #: All marks, the longest first, so that the longest wins wherever several begin.
 _MARKS = sorted(((m, c, forms) for c, ms in ARCHIVE_MARKS.items() for m, forms in ms.items()), key=lambda x: -len(x[0]))
-_ANY_MARK = "(?U)" + "|".join(mark_pattern(m) for m, *_ in _MARKS)
+#: A place where no mark begins is left after one look at its sign.
+_ANY_MARK = f"(?U)(?=[{''.join(re.escape(c) for c in sorted({m[0] for m, *_ in _MARKS}))}])(?:" + "|".join(mark_pattern(m) for m, *_ in _MARKS) + ")"
 
 
 def archive_marks(text: Column) -> Column:
@@ -89,9 +90,9 @@ def archive_marks(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(_ANY_MARK), F.lit(0))
 
 
-def archive_scores(gt: Column, hyp: Column) -> Column:
-    """Array of (category, total, strict, expanded) as in abbreviation_scores, by the category of the mark."""
-    found = archive_marks(gt)
+def archive_scores(gt: Column, hyp: Column, found: Column | None = None) -> Column:
+    """Array of (category, total, strict, expanded) as in abbreviation_scores, by the category of the mark; found are the marks of gt where they are known."""
+    found = archive_marks(gt) if found is None else found
     category = F.create_map(*[F.lit(x) for m, c, _ in _MARKS for x in (m, c)])
     strict = lambda m: _case(m, lambda mark, forms: F.regexp_like(hyp, F.lit("(?U)" + mark_pattern(mark))))
     wide = lambda m: _case(m, lambda mark, forms: F.regexp_like(hyp, F.lit("(?U)" + mark_pattern(mark))) | _holds_any(hyp, forms))
