@@ -87,3 +87,11 @@ def test_documents_are_dealt_to_more_tasks_the_more_there_are(spark, monkeypatch
     monkeypatch.setattr(derived, "ROWS_A_TASK", 5)
     rows = derived.load(spark, "/root/testdata/sf0.001", "documents")
     assert derived.spread(rows).rdd.getNumPartitions() >= rows.count() // 5
+
+
+def test_documents_of_many_large_files_are_dealt_out_too(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(derived, "ROWS_A_TASK", 5)
+    derived.load(spark, "/root/testdata/sf0.001", "documents").repartition(8).write.parquet(str(tmp_path / "documents.parquet"))
+    rows = derived.load(spark, str(tmp_path), "documents")
+    assert len(rows.inputFiles()) >= spark.sparkContext.defaultParallelism
+    assert derived.spread(rows).rdd.getNumPartitions() >= rows.count() // 5 and derived.spread(rows).exceptAll(rows).count() == 0
