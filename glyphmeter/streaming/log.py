@@ -53,8 +53,17 @@ def in_order(events: DataFrame) -> DataFrame:
     return known.groupBy("job_id").applyInPandasWithState(_in_order, ENTRY, _STATE, "append", GroupStateTimeout.NoTimeout)
 
 
-def orphans(log: DataFrame, idle: str = "1 day") -> DataFrame:
-    """job_id, seq and state of the jobs of a log whose last event leaves them at work, and is older than idle before the log's latest."""
-    last = log.groupBy("job_id").agg(F.max_by(F.struct("seq", "state", "ts"), "seq").alias("e")).select("job_id", "e.*")
-    latest = log.agg(F.max("ts").alias("latest"))  # one row
+def last_events(events: DataFrame) -> DataFrame:
+    """job_id, seq, state and ts of the last event of each job, and heard, the latest ts of any of its events.
+
+    Of a stream (in update mode) as of a table, in any order and with repeated deliveries: the state is a row for each job.
+    Events that are missing before the last one do not matter. Rows without job_id, seq or state are left out.
+    """
+    known = events.where("job_id IS NOT NULL AND seq IS NOT NULL AND state IS NOT NULL").withColumn("ts", F.col("ts").cast("timestamp"))
+    return known.groupBy("job_id").agg(F.max_by(F.struct("seq", "state", "ts"), "seq").alias("e"), F.max("ts").alias("heard")).select("job_id", "e.*", "heard")
+
+
+def orphans(last: DataFrame, idle: str = "1 day") -> DataFrame:
+    """job_id, seq and state of the jobs of last_events whose last event leaves them at work, and is older than idle before the latest of all."""
+    latest = last.agg(F.max("heard").alias("latest"))  # one row
     return last.where(F.col("state").isin("pending", "running")).join(F.broadcast(latest)).where(F.col("ts") < F.col("latest") - F.expr(f"INTERVAL {idle}")).select("job_id", "seq", "state")

@@ -145,3 +145,19 @@ def test_job_log_is_the_same_in_any_order_and_cutting(spark, tmp_path):
         entries = jobs.drain(log.in_order(stream), f"test-log-{cut}")
         assert sorted((r.job_id, r.seq, r.state, r.before, r.allowed) for r in entries.collect()) == wanted
         assert all(r.ts.day == 1 + r.seq for r in entries.collect())
+
+
+def test_last_events_need_no_order_and_no_python(spark, tmp_path):
+    rng = random.Random(3)
+    rows = [(j, s, rng.choice(["pending", "running", "complete"]), f"2024-01-{1 + s:02d}") for j in range(15) for s in range(1, 1 + rng.randrange(1, 20))]
+    mixed = rows + rng.sample(rows, 20) + [(None, 1, "pending", "2025-01-01"), (1, None, "pending", "2025-01-01")]
+    rng.shuffle(mixed)
+    for k in range(5):
+        spark.createDataFrame(mixed[k::5], "job_id bigint, seq bigint, state string, day string").selectExpr("job_id", "seq", "state", "CAST(day AS timestamp) AS ts").coalesce(1).write.mode("append").parquet(str(tmp_path / "log"))
+    stream = log.last_events(spark.readStream.schema("job_id bigint, seq bigint, state string, ts timestamp").option("maxFilesPerTrigger", 2).parquet(str(tmp_path / "log")))
+    assert "InPandas" not in stream._jdf.queryExecution().logical().toString()
+    last = jobs.drain(stream, "test-last", "job_id")
+    wanted = {j: max((s, x) for i, s, x, _ in rows if i == j) for j in range(15)}
+    assert {r.job_id: (r.seq, r.state) for r in last.collect()} == wanted
+    latest = max(s for s, _ in wanted.values())
+    assert {r.job_id for r in log.orphans(last).collect()} == {j for j, (s, x) in wanted.items() if x != "complete" and s < latest - 1}
