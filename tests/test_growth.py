@@ -95,3 +95,34 @@ def test_documents_of_many_large_files_are_dealt_out_too(spark, tmp_path, monkey
     rows = derived.load(spark, str(tmp_path), "documents")
     assert len(rows.inputFiles()) >= spark.sparkContext.defaultParallelism
     assert derived.spread(rows).rdd.getNumPartitions() >= rows.count() // 5 and derived.spread(rows).exceptAll(rows).count() == 0
+
+
+def test_lines_that_lose_and_change_signs_need_no_table(monkeypatch):
+    rng = random.Random(6)
+    words = ["the", "thorn", "eth", "urn", "born", "de", "ion", "ththnt", "œuvre", "straße", "\U0001f600"]
+    lines = [" ".join(rng.choice(words) for _ in range(rng.choice([3, 40]))) for _ in range(60)]
+    changes = [lambda x: x.replace("rn", "m").replace("th", "h"), lambda x: x.replace(" de ", " "), lambda x: x.replace("œ", "oe").replace("ß", "ss"), lambda x: x.replace("ion", " ion")]
+    wanted = [[_plain_distance(x, f(x)) for x in lines] for f in changes]
+    monkeypatch.setattr(distance, "levenshtein", None)
+    monkeypatch.setattr(distance, "_in_words", None)
+    assert [distance.distances(lines, [f(x) for x in lines]).tolist() for f in changes] == wanted
+
+
+def test_surplus_of_letters_never_claims_too_little():
+    rng = random.Random(9)
+    for _ in range(3_000):
+        a = "".join(rng.choice("aA!bé") for _ in range(rng.randrange(12)))
+        b = "".join(_noisy(rng, a, rng.choice([0.1, 0.6]), "aA!bc\u0141"))
+        more = [0] * distance.LETTER_CLASSES
+        for text, sign in ((a, 1), (b, -1)):
+            for c in text:
+                more[ord(c) % distance.LETTER_CLASSES] += sign
+        least = max(sum(x for x in more if x > 0), -sum(x for x in more if x < 0))
+        assert not distance.is_made_of(a, b, more, least) or least == _plain_distance(a, b)
+
+
+def test_lines_are_measured_by_text(spark):
+    texts = [("a\nbc", "a\nbd\nx"), ("", ""), (None, "a"), ("a", None), ("\n\n", "x"), ("é\n", "e\n")]
+    pairs = spark.createDataFrame([("e", k, "s", "c", *t) for k, t in enumerate(texts)], "engine string, doc_id int, stratum string, corpus string, gt string, hyp string")
+    found = [(r.doc_id, r.line, r.gt_line, r.hyp_line, r.errors) for r in derived.lines(pairs).orderBy("doc_id", "line").collect()]
+    assert found == [(0, 0, "a", "a", 0), (0, 1, "bc", "bd", 1), (0, 2, "", "x", 1), (1, 0, "", "", 0), (4, 0, "", "x", 1), (4, 1, "", "", 0), (4, 2, "", "", 0), (5, 0, "é", "e", 1), (5, 1, "", "", 0)]
