@@ -5,11 +5,12 @@ import re
 
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from glyphmeter.functions import align, distance
 from glyphmeter.operators import tokens
 from glyphmeter.plans.registry import QUERIES
-from glyphmeter.sources import derived
+from glyphmeter.sources import derived, formats
 
 
 def _noisy(rng, text, rate, letters="abcdé"):
@@ -126,3 +127,12 @@ def test_lines_are_measured_by_text(spark):
     pairs = spark.createDataFrame([("e", k, "s", "c", *t) for k, t in enumerate(texts)], "engine string, doc_id int, stratum string, corpus string, gt string, hyp string")
     found = [(r.doc_id, r.line, r.gt_line, r.hyp_line, r.errors) for r in derived.lines(pairs).orderBy("doc_id", "line").collect()]
     assert found == [(0, 0, "a", "a", 0), (0, 1, "bc", "bd", 1), (0, 2, "", "x", 1), (1, 0, "", "", 0), (4, 0, "", "x", 1), (4, 1, "", "", 0), (4, 2, "", "", 0), (5, 0, "é", "e", 1), (5, 1, "", "", 0)]
+
+
+@pytest.mark.parametrize("written", [formats.to_alto, formats.to_page])
+def test_texts_are_escaped_once_and_not_word_by_word(spark, written):
+    rows = spark.createDataFrame([("a&b\x0b<c>\x01 \x02\n\x0c\n\"d\"",), (None,)], "text string").select(written(F.col("text")).alias("xml"))
+    assert not re.search(r"replace\((lambda|array_join)", rows._jdf.queryExecution().analyzed().toString())
+    first, second = (r.xml for r in rows.collect())
+    assert "a&amp;b" in first and "&lt;c&gt;" in first and "b&lt;" not in first and "&quot;d&quot;" in first and not re.search("[\x01\x02\x0b\x0c]", first)
+    assert first.count("<TextLine>") == 2 and "<TextLine>" not in second
