@@ -7,7 +7,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from glyphmeter.functions import align, distance
+from glyphmeter.functions import align, distance, errors
 from glyphmeter.operators import tokens
 from glyphmeter.plans.registry import QUERIES
 from glyphmeter.sources import derived, formats
@@ -136,3 +136,19 @@ def test_texts_are_escaped_once_and_not_word_by_word(spark, written):
     first, second = (r.xml for r in rows.collect())
     assert "a&amp;b" in first and "&lt;c&gt;" in first and "b&lt;" not in first and "&quot;d&quot;" in first and not re.search("[\x01\x02\x0b\x0c]", first)
     assert first.count("<TextLine>") == 2 and "<TextLine>" not in second
+
+
+def test_fuzzy_search_weighs_short_words_together(monkeypatch):
+    rng = random.Random(5)
+    monkeypatch.setattr(errors, "few_edits", None)  # which measures one pair
+    monkeypatch.setattr(errors, "PAIRS_AT_ONCE", 100)
+    word = lambda n: "".join(rng.choices("abcdeé\U0001f600", k=n))
+    hyp = [word(rng.randrange(1, 12)) for _ in range(300)]
+    gt = ["".join(_noisy(rng, w, 0.3)) or "a" for w in hyp for _ in range(1 + (len(w) < 3))]
+    used, wanted = [False] * len(hyp), []
+    for w in gt:
+        best = min(((d, k) for k, h in enumerate(hyp) if not used[k] and (d := _plain_distance(w, h)) <= 2), default=None)
+        if best:
+            used[best[1]] = True
+        wanted.append(best is not None)
+    assert 0 < sum(wanted) < len(gt) and errors.fuzzy_found(gt, hyp, 2) == wanted
