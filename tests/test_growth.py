@@ -3,11 +3,12 @@
 import random
 import re
 
+import pandas as pd
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from glyphmeter.functions import align, distance, errors
+from glyphmeter.functions import align, distance, errors, rates
 from glyphmeter.operators import tokens
 from glyphmeter.plans.registry import QUERIES
 from glyphmeter.sources import derived, formats
@@ -152,3 +153,33 @@ def test_fuzzy_search_weighs_short_words_together(monkeypatch):
             used[best[1]] = True
         wanted.append(best is not None)
     assert 0 < sum(wanted) < len(gt) and errors.fuzzy_found(gt, hyp, 2) == wanted
+
+
+def _untold(*_):
+    raise AssertionError("a table was filled")
+
+
+def test_joined_lines_and_lost_letters_need_no_table(monkeypatch):
+    monkeypatch.setattr(distance, "levenshtein", _untold)
+    rng = random.Random(2)
+    gt = "\n".join(" ".join(rng.choice(["peu", "un beau", "jour", "le", "5", "eau  vu"]) for _ in range(12)) for _ in range(60))
+    lines = gt.split("\n")
+    joined = "".join(x + (" " if i % 3 == 0 else "\n") for i, x in enumerate(lines))[:-1].replace("u", "")
+    assert distance.distances([gt], [joined]).tolist() == [gt.count("u") + 20]
+    rows = [(gt, joined), (gt, gt.replace("e", "c")), (gt, "\n".join(f"folio\n{x}" for x in lines))]
+    monkeypatch.setattr(rates, "levenshtein", _untold)
+    got = rates.text_counts.func(*(pd.Series(c) for c in zip(*rows, strict=True)), *(pd.Series(c) for c in zip(*rows, strict=True)))
+    assert got["errors"].tolist() == [gt.count("u") + 20, gt.count("e"), 6 * 60] and got["profile_errors"].tolist() == got["errors"].tolist()
+    assert got["plain_word_errors"].tolist()[1:] == [sum("e" in w for w in gt.split()), 60]
+
+
+def test_a_bound_opens_the_window_once(monkeypatch):
+    rng = random.Random(4)
+    gt = "".join(rng.choices("abcdefgh", k=4_000))
+    hyp = "".join(x.replace("e", "c") for i in range(0, 4_000, 50) if (x := gt[i : i + 50]) and i % 200 != 50)
+    windows, measured = [], distance._windowed
+    monkeypatch.setattr(distance, "_windowed", lambda *a: windows.append(a[3]) or measured(*a))
+    found = distance.distances([gt], [hyp]).tolist()
+    assert len(windows) == 1 and 2 * windows[0] < len(gt) // 4
+    monkeypatch.setattr(distance, "FIRST_WINDOW", 5_000)
+    assert found == [distance.levenshtein(gt, hyp)]
