@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from glyphmeter.functions import align, distance, errors, rates
-from glyphmeter.operators import tokens
+from glyphmeter.operators import tokens, views
 from glyphmeter.plans.registry import QUERIES
 from glyphmeter.sources import derived, formats
 
@@ -183,3 +183,11 @@ def test_a_bound_opens_the_window_once(monkeypatch):
     assert len(windows) == 1 and 2 * windows[0] < len(gt) // 4
     monkeypatch.setattr(distance, "FIRST_WINDOW", 5_000)
     assert found == [distance.levenshtein(gt, hyp)]
+
+
+def test_words_are_looked_for_in_a_text_that_is_made_once(spark):
+    rows = [("one Two stone", "ONE two milestone x"), ("a b", ""), ("", "x"), (None, "x"), ("a b", None)]
+    alto = F.when(F.col("y").isNotNull(), formats.read_alto(formats.to_alto(F.col("y"))))
+    found = spark.createDataFrame(rows, "x string, y string").select(views.preserved_words(F.col("x"), alto).alias("p"))
+    assert "contains(lower(" not in found._jdf.queryExecution().analyzed().toString().lower()
+    assert [r.p for r in found.collect()] == [1.0, 0.0, None, None, 0.0]
