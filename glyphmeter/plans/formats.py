@@ -46,7 +46,7 @@ def cer_variants(spark, sf_dir):
     fold = lambda c: F.translate(F.replace(F.lower(c), F.lit(_PAIR[0]), F.lit(_PAIR[1])), _FROM, _TO)
     makers = {"caseless": F.lower, "diplomatic": fold, "no_punctuation": lambda c: F.translate(c, ".,;:!?", "")}
     made = F.array(*[F.struct(F.lit(n).alias("variant"), f(F.col("gt_line")).alias("g"), f(F.col("hyp_line")).alias("h")) for n, f in makers.items()])
-    rows = derived.lines(derived.outputs(spark, sf_dir)).select("engine", F.explode(made).alias("v")).select("engine", "v.*").transform(with_edit_distance, "g", "h", "e")
+    rows = derived.split_lines(derived.outputs(spark, sf_dir)).select("engine", F.explode(made).alias("v")).select("engine", "v.*").transform(with_edit_distance, "g", "h", "e")
     return rows.groupBy("engine", "variant").agg(F.sum("e").alias("errors"), F.sum(F.length("g")).cast("bigint").alias("ref_chars")).withColumn("cer", F.col("errors") / F.col("ref_chars"))
 
 

@@ -28,7 +28,7 @@ def abbreviation_preservation(spark, sf_dir):
 
 
 def _scribal_lines(spark, sf_dir):
-    return derived.lines(derived.scribal(spark, sf_dir).withColumns({"stratum": F.lit(None).cast("string"), "corpus": F.lit(None).cast("string")}))
+    return derived.split_lines(derived.scribal(spark, sf_dir).withColumns({"stratum": F.lit(None).cast("string"), "corpus": F.lit(None).cast("string")}))
 
 
 @register()

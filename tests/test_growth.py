@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from glyphmeter.functions import align, distance, errors, rates
 from glyphmeter.operators import tokens, views
+from glyphmeter.plans import registry
 from glyphmeter.plans.registry import QUERIES
 from glyphmeter.sources import derived, formats
 
@@ -191,3 +192,11 @@ def test_words_are_looked_for_in_a_text_that_is_made_once(spark):
     found = spark.createDataFrame(rows, "x string, y string").select(views.preserved_words(F.col("x"), alto).alias("p"))
     assert "contains(lower(" not in found._jdf.queryExecution().analyzed().toString().lower()
     assert [r.p for r in found.collect()] == [1.0, 0.0, None, None, 0.0]
+
+
+@pytest.mark.parametrize("name", ["error_taxonomy", "error_heat_map", "error_clusters", "error_class_kl", "lexical_modernisation", "top_confused_characters", "word_error_rates", "profiled_error_rates"])
+def test_distances_that_nothing_asks_for_are_not_measured(spark, monkeypatch, name):
+    registry.load_all()
+    monkeypatch.setattr(derived, "line_distances", _untold)
+    plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "line_distances" not in plan
