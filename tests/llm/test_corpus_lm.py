@@ -90,6 +90,21 @@ def test_words_beyond_the_head_are_scored_alike_from_any_number_of_shards(spark,
     assert [r[:3] for r in runs[0]] == sorted((r[0] or -1, (s := scored(r[1]))[1], round(s[3], 6)) for r in rows)
 
 
+@pytest.mark.parametrize("share", [1, 12])
+def test_words_beyond_the_head_have_chances_of_their_own(spark, monkeypatch, share):
+    train, rows = corpus_of(5)
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, score string, learns boolean").repartition(3)
+    monkeypatch.setattr(corpus_lm, "HEAD_SHARE", share)
+    _, scored, _ = plain_model(train)
+    by = lambda r: (r[0] is not None, r[0] or 0, r[4])
+    wanted = sorted(((r[0], *scored(r[1])) for r in rows), key=by)
+    for tokens in (1 << 20, 60):
+        monkeypatch.setattr(corpus_lm, "SHARD_TOKENS", tokens)
+        got = sorted(map(tuple, corpus_lm.score(docs, docs.learns).collect()), key=by)
+        for g, w in zip(got, wanted, strict=True):
+            assert g[:4] == w[:4] and abs(g[5] - w[5]) <= 3 * w[1] / 2 / corpus_lm.STEPS + 1e-9
+
+
 def test_a_text_that_repeats_a_trigram_sends_it_once(spark):
     empty = np.zeros(0, np.uint64)
     corpus = corpus_lm.Corpus(ngram_lm.Words(empty, np.zeros(0, np.int64), 0, 0, 0, 1, empty, empty, empty), 1, empty, empty, empty, np.zeros((4, 0)), empty, np.zeros((2, 0)))
