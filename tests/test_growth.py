@@ -200,3 +200,10 @@ def test_distances_that_nothing_asks_for_are_not_measured(spark, monkeypatch, na
     monkeypatch.setattr(derived, "line_distances", _untold)
     plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "line_distances" not in plan
+
+
+def test_plain_words_are_classed_without_their_forms(monkeypatch):
+    monkeypatch.setattr(errors, "bare", _untold)
+    monkeypatch.setattr(errors, "LIGATURES", None)
+    pairs = [("presence", "prcscncc"), ("Word", "word"), ("morn", "mom"), ("tables", "xyz"), ("been", "bean")]
+    assert [errors.word_class.__wrapped__(*p) for p in pairs] == ["visual_confusion", "case_error", "visual_confusion", "hapax", "hapax"]
